@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .packing import op5_packing
 from .sharding import op7_sharding
+from .tokens import op9_bpe_tokens
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op5_packing": op5_packing,
     "op7_sharding": op7_sharding,
+    "op9_bpe_tokens": op9_bpe_tokens,
 }
 
 ORACLE_SQL = {
