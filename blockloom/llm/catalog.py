@@ -6,15 +6,19 @@ from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .fingerprints import op3_simhash
 from .licenses import op6_license_scan
 from .packing import op5_packing
+from .quality import op2_quality
 from .sharding import op7_sharding
 from .tokens import op9_bpe_tokens
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
     "op5_packing": op5_packing,
     "op6_license_scan": op6_license_scan,
     "op7_sharding": op7_sharding,
+    "op8_toxicity": op8_toxicity,
     "op9_bpe_tokens": op9_bpe_tokens,
 }
 
