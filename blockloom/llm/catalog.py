@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .fingerprints import op3_simhash
+from .language_model import op10_lm_score
 from .licenses import op6_license_scan
 from .packing import op5_packing
 from .quality import op2_quality
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_sharding": op7_sharding,
     "op8_toxicity": op8_toxicity,
     "op9_bpe_tokens": op9_bpe_tokens,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLE_SQL = {
