@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .fingerprints import op3_simhash
+from .jaccard_join import op4_ngram_jaccard
 from .language_model import op10_lm_score
 from .licenses import op6_license_scan
 from .packing import op5_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_packing": op5_packing,
     "op6_license_scan": op6_license_scan,
     "op7_sharding": op7_sharding,
