@@ -136,7 +136,7 @@ def cut_pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, len
     """A row for each piece, with the task that cut it and its rank among that task's pieces of its class."""
 
     def run(batches):
-        known, task, ranks = fragments(vocabulary), TaskContext.get().partitionId(), {}
+        known, task, ranks = fragments(vocabulary, decode=False), TaskContext.get().partitionId(), {}
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows = {k: [] for k in ("id", "start", "length", "crc", "tokens", "class", "rank")}

@@ -18,6 +18,7 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._shared import documents
 
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 CHARS_AT_ONCE = 1_000_000
 #: White space of the vocabulary's own rules; str.split() takes 0x1C-0x1F too.
-SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 NOT_SPACE = re.compile("[\x1c-\x1f]")
+#: Between ASCII characters of two kinds, and around ASCII digits.
+KINDS = re.compile(
+    "(?<=[A-Za-z])(?=[\x00-@\\[-`{-\x7f])|(?<=[\x00-@\\[-`{-\x7f])(?=[A-Za-z])|(?<=[0-9])(?=[\x00-\x7f])|(?<=[\x00-\x7f])(?=[0-9])"
+)
 
 
 def default_vocabulary() -> str:
@@ -61,10 +66,13 @@ def certain_cuts(vocabulary: Iterable[str], word_end: str) -> bytearray:
     return flags
 
 
+LOWERED = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
 class Fragments:
     """Encodes texts with the vocabulary of one file."""
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str, decode: bool = True, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -76,22 +84,36 @@ class Fragments:
         self.end = spec["model"]["end_of_word_suffix"] or ""
         self.sure = certain_cuts(spec["model"]["vocab"], self.end)
         self.special = [t["content"] for t in spec["added_tokens"]]
+        # Without an apostrophe, cuts are certain between all kinds of ASCII characters.
+        ascii_kind = ["a" if chr(b).isalpha() else "0" if chr(b).isdigit() else "." for b in range(128)]
+        self.by_kind = all(
+            self.sure[a << 8 | b] for a in range(128) for b in range(128) if 39 not in (a, b) and (ascii_kind[a] != ascii_kind[b] or ascii_kind[a] == "0")
+        )
         names = self.whole.get_vocab(with_added_tokens=True)
         self.name = [""] * (max(names.values()) + 1)
         for token, i in names.items():
             self.name[i] = token
         self.ends_word = np.array([t.endswith(self.end) and t not in self.special for t in self.name])
-        self.remembered = remembered
+        self.decode, self.remembered = decode, remembered
         self.words: list[dict] = [{}, {}]  # of fragments between spaces: ids as bytes, decoded text
         self.parts: list[dict] = [{}, {}]  # of fragments between certain cuts: ids
 
     def split(self, text: str) -> list[str]:
+        """text's fragments between spaces. A-Z become a-z first, as the vocabulary has it, where this changes nothing else:
+        no special token may be there, and no letter that would join with a mark behind it in one case only."""
+        if "<|" not in text:
+            low = text.encode("utf-8", "surrogatepass").translate(LOWERED).decode("utf-8", "surrogatepass")
+            if text.isascii() or is_normalized("NFC", low) and is_normalized("NFC", text):
+                text = low
         return [x for x in SPACE.split(text) if x] if NOT_SPACE.search(text) else text.split()
 
     def cut(self, word: str) -> list[str]:
         """word's fragments. ASCII ones are lower-cased, as the vocabulary's own rules do first of all."""
-        if any(s in word for s in self.special):
-            return [word]
+        if "<|" in word:
+            if any(s in word for s in self.special):
+                return [word]
+        elif self.by_kind and "'" not in word:
+            return KINDS.split(word)
         raw, start, out, sure = word.encode("utf-8", "surrogatepass"), 0, [], self.sure
         for i in range(1, len(raw)):
             if sure[raw[i - 1] << 8 | raw[i]]:
@@ -118,8 +140,8 @@ class Fragments:
 
     def _encode_parts(self, parts: list[str]) -> None:
         """Runs of letters are single words: many go in one call, and word ends tell them apart."""
-        known, plain = self.parts[0], [p for p in parts if p.isascii() and p.isalpha()]
-        rest = [p for p in parts if not (p.isascii() and p.isalpha())]
+        known, plain = self.parts[0], [p for p in parts if p.isalpha()]
+        rest = [p for p in parts if not p.isalpha()]
         groups = [plain[i : i + 512] for i in range(0, len(plain), 512)]
         for group, e in zip(groups, self.whole.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype="<u4")
@@ -144,12 +166,12 @@ class Fragments:
             known, parts, name = self.words[0], self.parts[0], self.name
             for word, c in zip(missing, cut, strict=True):
                 ids = b"".join([parts[p] for p in c])
-                known[word] = (ids, " ".join([name[i] for i in np.frombuffer(ids, "<u4").tolist()]))
+                known[word] = (ids, " ".join([name[i] for i in memoryview(ids).cast("I")]) if self.decode else "")
             self._age(self.parts)
         return self.words[0]
 
     def encode(self, texts: list[str]) -> Iterator[list[tuple[bytes, str]]]:
-        """For each text its fragments' ids, as little-endian unsigned 32-bit integers, and decoded texts."""
+        """For each text its fragments' ids, as little-endian unsigned 32-bit integers, and decoded texts (if asked for)."""
         at = 0
         while at < len(texts):
             chars, stop = 0, at
@@ -165,8 +187,8 @@ class Fragments:
 
 
 @lru_cache(maxsize=2)
-def fragments(path: str) -> Fragments:
-    return Fragments(path)
+def fragments(path: str, decode: bool = True) -> Fragments:
+    return Fragments(path, decode)
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
