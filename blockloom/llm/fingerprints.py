@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -164,16 +164,13 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return in_blocks(docs, id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def block_values(blocks: int):
-    """The bits of each block of a fingerprint in columns hi and lo, as one integer for each block."""
-    width = BITS // blocks
-    per_half = blocks // 2
-    return F.array(
-        *[
-            F.expr(f"shiftrightunsigned({'hi' if b < per_half else 'lo'}, {64 - width * (b % per_half + 1)}) & {(1 << width) - 1}L")
-            for b in range(blocks)
-        ]
-    )
+def block_value(block: int, blocks: int, half: str = "{}") -> Column:
+    """One of `blocks` equal blocks of the fingerprint's bits, as an integer; half: SQL for a half, with {} for its name."""
+    width, per_half = BITS // blocks, blocks // 2
+    bits = half.format(*["hi" if block < per_half else "lo"] * half.count("{}"))
+    if width == 64:
+        return F.expr(bits)
+    return F.expr(f"shiftrightunsigned({bits}, {64 - width * (block % per_half + 1)}) & {(1 << width) - 1}L")
 
 
 def count_within(queries: DataFrame, corpus: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -183,20 +180,13 @@ def count_within(queries: DataFrame, corpus: DataFrame, radius: int = RADIUS) ->
     before the join, so copies meet once.
     """
     blocks = radius + 1
-    table = lambda df: df.select("*", F.posexplode(block_values(blocks)).alias("table", "front"))
+    table = lambda df: df.select("*", F.posexplode(F.array(*[block_value(b, blocks) for b in range(blocks)])).alias("table", "front"))
     left = table(queries.select("hi", "lo").distinct())
     right = table(corpus.groupBy("hi", "lo").agg(F.count("*").alias("n"))).toDF("hi2", "lo2", "n", "table", "front")
     x, y = F.col("hi").bitwiseXOR(F.col("hi2")), F.col("lo").bitwiseXOR(F.col("lo2"))
     apart = F.bit_count(x) + F.bit_count(y)
     differs = left.join(right, ["table", "front"]).where(apart <= radius)
-    width, per_half = BITS // blocks, blocks // 2
-    first = F.coalesce(
-        *[
-            F.when(F.expr(f"(shiftrightunsigned({h} ^ {h}2, {64 - width * (b % per_half + 1)}) & {(1 << width) - 1}L) = 0"), F.lit(b))
-            for b in range(blocks)
-            for h in ["hi" if b < per_half else "lo"]
-        ]
-    )
+    first = F.coalesce(*[F.when(block_value(b, blocks, "({} ^ {}2)") == 0, F.lit(b)) for b in range(blocks)])
     return differs.where(F.col("table") == first).groupBy("hi", "lo").agg(F.sum("n").alias("n"))
 
 
