@@ -413,8 +413,9 @@ STREAMS = "SELECT source, hex(encode(string_agg(coalesce(text, '') || chr(10), '
 PIECES = f"""WITH s AS ({STREAMS}), c AS (SELECT source, i AS chunk_no, substr(hx, 2 * {CHUNK} * i + 1, 2 * {CHUNK}) AS hx
 FROM s, LATERAL (SELECT unnest(range(0, CAST(ceil(length(hx) / 2.0 / {CHUNK}) AS BIGINT))) AS i) e)"""
 FILES = f"SELECT doc_id // {FEW} AS file_id, count(*) AS docs, string_agg(coalesce(text, ''), '' ORDER BY doc_id) AS x FROM documents GROUP BY 1"
-BYTES = """WITH h AS (SELECT doc_id, lang, hex(encode(coalesce(text, ''))) AS hx FROM documents),
-b AS (SELECT doc_id, lang, CAST(('0x' || substr(hx, 2 * i + 1, 2)) AS INT) AS byte, i FROM h, LATERAL (SELECT unnest(range(0, CAST(length(hx) / 2 AS BIGINT))) AS i) e)"""
+BYTES = """WITH h AS (SELECT doc_id, lang, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS l FROM documents),
+d AS (SELECT doc_id, lang, unnest(l) AS hx, generate_subscripts(l, 1) AS i FROM h),
+b AS (SELECT doc_id, lang, CAST(('0x' || hx) AS INT) AS byte, i FROM d)"""
 LINE = ", ".join(
     f"({a}, {b}, '{line}')"
     for (a, b), line in zip(
