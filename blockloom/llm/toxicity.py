@@ -2,7 +2,7 @@
 
 From a bounded sample of labelled rows come words and word beginnings that stand in toxic documents far more often
 than in others. Dealt out over many voters (lexicons of words, patterns of beginnings, counts of hits, and absence), they
-vote toxic, clean or not at all on each sampled document. A generative model estimates each voter's accuracies by
+vote toxic, clean or not at all on each sampled document, and so do the annotators' labels. A generative model estimates each voter's accuracies by
 expectation maximisation, and from the residuals given the posterior how voters correlate; a voter counts
 by the part that its correlated fellows don't say already. A linear classifier is then trained on the posterior
 labels, over the mined words and beginnings, and scores every whole text.
@@ -173,7 +173,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, ste
     share = toxic.mean() if len(toxic) else 0.0
     if not terms or share in (0.0, 1.0):
         return ToxicityModel({}, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    given = np.array([votes(h, place) for h in hits])
+    annotator = np.where(toxic > 0, 1, -1)  # one more voter, as far as the model trusts it
+    given = np.column_stack([np.array([votes(h, place) for h in hits]), annotator])
     start = np.where(toxic > 0, 0.9, 0.1 * share)
     labels_for = fit_label_model(given, start).posterior(given)
 
