@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -348,7 +349,8 @@ def check_streams(decoded: DataFrame) -> DataFrame:
 def decode_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(blocks, report) of files (file_id, content): DECODED_BLOCKS in their file's order by (seq, chunk_no), and STREAM_REPORT."""
     parts = segments(files)
-    decoded = repair(decode_segments(parts), parts)
+    # Read several times below; blocks that an executor takes with it are decoded again.
+    decoded = repair(decode_segments(parts).persist(StorageLevel.DISK_ONLY), parts)
     return decoded, check_streams(with_openings(decoded, parts))
 
 

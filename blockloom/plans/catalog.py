@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -124,7 +125,7 @@ def false_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, batch.schema)
 
     parts = parts.mapInArrow(cut, parts.schema)
-    decoded = codec.repair(codec.decode_segments(parts), parts)
+    decoded = codec.repair(codec.decode_segments(parts).persist(StorageLevel.DISK_ONLY), parts)
     told = codec.check_streams(codec.with_openings(decoded, parts))
     whole = codec.whole_files(decoded, told)
     return whole.select("file_id", "error", F.octet_length("raw").alias("n_bytes"), F.md5("raw").alias("md5"))
