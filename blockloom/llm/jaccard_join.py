@@ -3,8 +3,9 @@
 A document's set: its distinct word n-grams, as 64-bit hashes; with fewer words, the whole sequence as one. Two documents link when
 their sets' Jaccard similarity reaches the threshold. Documents with equal sets are one from here on.
 
-All sets stand in one global order: n-grams common in the corpus last (a bounded list, found over all documents), else by
-hash. Two sets that link share one of their first n - ceil(t n) + 1 n-grams (their prefixes). Each n-gram that at least
+All sets stand in one global order, the rarest n-grams first: by the frequencies of their words, equal ones by hash, and behind
+all others the n-grams found to be common (bounded lists of words and n-grams, counted over all documents). Any total order gives
+right results; this one makes chance meetings of long documents rare. Two sets that link share one of their first n - ceil(t n) + 1 n-grams (their prefixes). Each n-gram that at least
 two prefixes share makes a group; groups with the same members are one. A group's sets go into a trie in the
 global order, and each set traverses the trie once: documents that share a beginning share the overlap counted
 there, and a subtree is left where even all that remains of both sides can't reach the needed overlap. Sets that are already
@@ -18,8 +19,6 @@ span the components; these come from repeated joins, never on the driver.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,6 +30,8 @@ from ._shared import documents, written
 
 COMMON = 1 << 16
 COMMON_FROM = 4
+WORDS = 1 << 17
+WORDS_FROM = 8
 DOCS_AT_ONCE = 2_000
 CHARS_AT_ONCE = 4_000_000
 REMEMBERED = 400_000
@@ -56,82 +57,119 @@ def needed(a: int, b: int, num: int, den: int) -> int:
 
 
 class Grams:
-    """Sets of n-gram hashes; remembers word hashes, at most `remembered`."""
+    """Sets of n-gram hashes with their frequency scores; remembers words, at most `remembered`."""
 
-    def __init__(self, size: int, remembered: int = REMEMBERED):
+    def __init__(self, size: int, words: np.ndarray | None = None, counts: np.ndarray | None = None, remembered: int = REMEMBERED):
+        """words: hashes of frequent words, ascending, and their counts; all other words count as rarer than these."""
         self.size, self.remembered = size, remembered
-        self.known: dict[bytes, int] = {}
-
-    def of(self, text: bytes | None) -> np.ndarray:
-        """Distinct n-grams of a text, ascending."""
+        self.words = np.zeros(0, np.uint64) if words is None else words
+        self.scores = np.zeros(0, np.int64) if counts is None else (16 * np.log2(counts + 1.0)).astype(np.int64)
+        self.at: dict[bytes, int] = {}
+        self.hash, self.score = np.zeros(2 * remembered, np.uint64), np.zeros(2 * remembered, np.int64)
+
+    def learn(self, new: list[bytes]) -> None:
+        first = len(self.at)
+        stop = first + len(new)
+        if stop > len(self.hash):
+            self.hash = np.append(self.hash, np.zeros(stop, np.uint64))
+            self.score = np.append(self.score, np.zeros(stop, np.int64))
+        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in new], np.uint64)
+        self.hash[first:stop] = hashes
+        self.score[first:stop] = 0
+        if len(self.words):
+            place = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+            self.score[first:stop] = np.where(self.words[place] == hashes, self.scores[place], 0)
+        self.at.update(zip(new, range(first, stop), strict=True))
+
+    def places(self, text: bytes | None) -> np.ndarray:
         words = (text or b"").translate(LOWERED).split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > self.remembered:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        k = min(self.size, len(words))
-        n = len(words) - k + 1
-        total = np.full(n, k, np.uint64)
+        if len(self.at) > self.remembered:
+            self.at.clear()
+        if new := list(set(words).difference(self.at)):
+            self.learn(new)
+        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+
+    def of(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct n-grams of a text, ascending, and their scores: the higher, the more frequent their words."""
+        at = self.places(text)
+        if not len(at):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        hashes, scores = self.hash[at], self.score[at]
+        k = min(self.size, len(at))
+        n = len(at) - k + 1
+        total, rank = np.full(n, k, np.uint64), np.zeros(n, np.int64)
         for i in range(k):
             total = mixed(total + hashes[i : i + n]) * FACTORS[i % len(FACTORS)]
-        return np.unique(total)
-
-
-@lru_cache(maxsize=2)
-def grams(size: int) -> Grams:
-    return Grams(size)
+            rank += scores[i : i + n]
+        found, first = np.unique(total, return_index=True)
+        return found, rank[first]
 
 
 class Order:
-    """The global order: common n-grams last, by their counts; all others by hash."""
+    """The global order, and the words and n-grams it knows."""
 
-    def __init__(self, common: np.ndarray):
-        """common: the most common n-grams, the rarest of them first."""
+    def __init__(self, size: int, common: np.ndarray, words: np.ndarray, counts: np.ndarray):
+        """common: the most common n-grams, the rarest of them first; words, ascending, with their counts."""
+        self.size, self.words, self.counts = size, words, counts
         self.rank = np.argsort(common)
         self.sorted = common[self.rank]
 
-    def sort(self, found: np.ndarray) -> np.ndarray:
-        """found, ascending, in the global order."""
-        if not len(self.sorted) or not len(found):
-            return found
-        at = np.minimum(np.searchsorted(self.sorted, found), len(self.sorted) - 1)
-        common = self.sorted[at] == found
-        late = found[common]
-        return np.concatenate([found[~common], late[np.argsort(self.rank[at[common]])]])
+    def sort(self, found: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """Where each of found, ascending, stands: an order of their indices."""
+        late = np.zeros(len(found), np.int64)
+        if len(self.sorted) and len(found):
+            at = np.minimum(np.searchsorted(self.sorted, found), len(self.sorted) - 1)
+            late = np.where(self.sorted[at] == found, self.rank[at] + 1, 0)
+        return np.lexsort((found, np.where(late > 0, 0, scores), late))
+
+
+_grams: dict[int, tuple[object, Grams]] = {}
+
+
+def grams_for(shared) -> Grams:
+    """The worker's Grams for a broadcast order, kept from task to task."""
+    order = shared.value
+    held = _grams.get(order.size)
+    if held is None or held[0] is not order:
+        held = _grams[order.size] = (order, Grams(order.size, order.words, order.counts))
+    return held[1]
 
 
 def raw(batch: pa.RecordBatch, column: str = "__text") -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
-def common_grams(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
-    """N-grams that several of the documents a task holds at a time share, by their number over all documents."""
+def corpus_order(docs: DataFrame, text_col: str, size: int) -> Order:
+    """Counts words and n-grams over all documents: those that several of the documents a task holds at a time share."""
 
     def run(batches):
-        known, held, chars = grams(size), [], 0
+        known, held, at, chars = Grams(size), [], [], 0
 
         def rows():
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= COMMON_FROM
-            return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often], pa.int64())], ["gram", "n"])
+            for kind, keys, least in (("gram", held, COMMON_FROM), ("word", at, WORDS_FROM)):
+                found, n = np.unique(np.concatenate(keys), return_counts=True)
+                often = n >= least
+                k = int(often.sum())
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * k, pa.string()), pa.array(found[often].view(np.int64)), pa.array(n[often], pa.int64())], ["kind", "key", "n"])
 
         for batch in batches:
             for text in raw(batch):
-                held.append(known.of(text))
+                held.append(known.of(text)[0])
+                at.append(known.hash[known.places(text)] if text else np.zeros(0, np.uint64))
                 chars += len(text or b"")
                 if len(held) == DOCS_AT_ONCE or chars > 2 * CHARS_AT_ONCE:
-                    yield rows()
-                    held, chars = [], 0
+                    yield from rows()
+                    held, at, chars = [], [], 0
         if held:
-            yield rows()
+            yield from rows()
 
-    counts = docs.select(F.col(text_col).alias("__text")).mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "gram").limit(COMMON).toArrow()
-    return np.asarray(top["gram"].to_numpy())[::-1].view(np.uint64).copy()
+    counts = docs.select(F.col(text_col).alias("__text")).mapInArrow(run, "kind string, key bigint, n bigint")
+    counts = written(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "jaccard-counts")
+    top = lambda kind, most: counts.where(F.col("kind") == kind).orderBy(F.desc("n"), "key").limit(most).toArrow()
+    common, words = top("gram", COMMON), top("word", WORDS)
+    keys = np.asarray(words["key"].to_numpy()).view(np.uint64)
+    order = np.argsort(keys)
+    return Order(size, np.asarray(common["key"].to_numpy())[::-1].view(np.uint64).copy(), keys[order], np.asarray(words["n"].to_numpy())[order])
 
 
 def bucket_counts(own: np.ndarray) -> np.ndarray:
@@ -140,20 +178,20 @@ def bucket_counts(own: np.ndarray) -> np.ndarray:
     return np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16 if len(own) < 65536 else np.uint32)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int, order) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, order) -> DataFrame:
     """id, n, h1, h2, prefix, counts: size of the set, 128 bits that tell sets apart, the prefix, and the bucket counts."""
 
     def run(batches):
-        known = grams(size)
+        known = grams_for(order)
         for batch in batches:
             n, h1, h2, prefix, counts = [], [], [], [], []
             for text in raw(batch):
-                own = known.of(text)
+                own, scores = known.of(text)
                 n.append(len(own))
                 h1.append(int(mixed(own).sum()) - (1 << 63))
                 h2.append(int(mixed(own + FACTORS[0]).sum()) - (1 << 63))
-                first = order.value.sort(own)[: prefix_length(len(own), num, den)] if len(own) else own
-                prefix.append(first.view(np.int64))
+                first = order.value.sort(own, scores)[: prefix_length(len(own), num, den) if len(own) else 0]
+                prefix.append(own[first].view(np.int64))
                 counts.append(bucket_counts(own).tobytes())
             columns = [*(pa.array(x, pa.int64()) for x in (n, h1, h2)), pa.array(prefix, pa.list_(pa.int64())), pa.array(counts, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "n", "h1", "h2", "prefix", "counts"])
@@ -252,11 +290,12 @@ class Union:
             self.parts -= 1
 
 
-def links_of(found: list[np.ndarray], ids: list[int], components: list[int], order: Order, num: int, den: int) -> list[tuple[int, int]]:
+def links_of(found: list[tuple[np.ndarray, np.ndarray]], ids: list[int], components: list[int], order: Order, num: int, den: int) -> list[tuple[int, int]]:
     """Links that connect all sets that links connect, but for those of one component already."""
-    vocabulary = order.sort(np.unique(np.concatenate(found)))
-    by_hash = np.argsort(vocabulary)
-    ranked = [np.sort(by_hash[np.searchsorted(vocabulary[by_hash], s)]) for s in found]
+    vocabulary, first = np.unique(np.concatenate([s for s, _ in found]), return_index=True)
+    place = np.empty(len(vocabulary), np.int64)
+    place[order.sort(vocabulary, np.concatenate([r for _, r in found])[first])] = np.arange(len(vocabulary))
+    ranked = [np.sort(place[np.searchsorted(vocabulary, s)]) for s, _ in found]
     at = sorted(range(len(ranked)), key=lambda i: ranked[i].astype(">u4").tobytes())
     sets = [ranked[i] for i in at]
     trie, union = Trie(sets), Union([components[i] for i in at])
@@ -272,11 +311,11 @@ def links_of(found: list[np.ndarray], ids: list[int], components: list[int], ord
     return out
 
 
-def search_units(units: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int, order) -> DataFrame:
+def search_units(units: DataFrame, docs: DataFrame, id_col: str, text_col: str, num: int, den: int, order) -> DataFrame:
     """a, b: links within units. units: unit (string), rep, component."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, known = table.column("rep").to_pylist(), grams(size)
+        ids, known = table.column("rep").to_pylist(), grams_for(order)
         found = [known.of(t) for t in table.column("__text").cast(pa.binary()).to_pylist()]
         got = links_of(found, ids, table.column("component").to_pylist(), order.value, num, den)
         return pa.table([pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())], names=["a", "b"])
@@ -366,8 +405,8 @@ def jaccard_components(
     equal rows. Other columns, whatever their names, are ignored.
     """
     sc = docs.sparkSession.sparkContext
-    order = sc.broadcast(Order(common_grams(docs, text_col, size)))
-    found = written(sketches(docs, id_col, text_col, size, num, den, order), "jaccard-sketches")
+    order = sc.broadcast(corpus_order(docs, text_col, size))
+    found = written(sketches(docs, id_col, text_col, num, den, order), "jaccard-sketches")
     sets = found.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
     sets = written(sets, "jaccard-sets")
     first = sets.where("rep is not null").withColumnRenamed("rep", "id")
@@ -384,7 +423,7 @@ def jaccard_components(
         units = mine.select("rep", F.col("rep").alias("component"), "group", turn)
         unit = F.concat_ws(":", "group.gram", "turn", F.pmod(F.xxhash64("rep", "turn"), runs))
         units = written(units.withColumn("unit", unit).select("unit", "rep", "component"), "jaccard-units")
-        links = written(search_units(units, docs, id_col, text_col, size, num, den, order), "jaccard-links")
+        links = written(search_units(units, docs, id_col, text_col, num, den, order), "jaccard-links")
         labels = connected(links)
     members = members.withColumn("component", F.col("rep"))
     if labels is not None:
@@ -398,7 +437,7 @@ def jaccard_components(
     held = held.groupBy("size", "mark", "anchor").agg(F.min("gram").alias("gram")).select("gram", "size")
     kept = kept.drop("size").join(written(held, "jaccard-held"), "gram")
     units = written(in_units(kept).select("unit", "rep", "component"), "jaccard-units")
-    more = written(search_units(units, docs, id_col, text_col, size, num, den, order), "jaccard-links")
+    more = written(search_units(units, docs, id_col, text_col, num, den, order), "jaccard-links")
     labels = connected(more if links is None else links.union(more))
     named = sets.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     named = written(named.select("h1", "h2", "component"), "jaccard-named")
