@@ -34,7 +34,8 @@ def directory(entries: DataFrame, capacity: int = BUCKET_ENTRIES, max_depth: int
     depths = depths.withColumn("node", F.expr(f"shiftright(prefix, {max_depth} - depth)"))
     full = depths.groupBy("depth", "node").agg(F.sum("held").alias("node_held"))
     fits = (F.col("node_held") <= capacity) | (F.col("depth") == max_depth)
-    leaf = depths.join(full, ["depth", "node"]).where(fits).groupBy("prefix").agg(F.min("depth").alias("depth"))
+    # At most 2 * 65,536 nodes, whatever the input.
+    leaf = depths.join(F.broadcast(full), ["depth", "node"]).where(fits).groupBy("prefix").agg(F.min("depth").alias("depth"))
     run = F.expr(f"shiftright(prefix, {max_depth} - depth)")
     return leaf.withColumn("bucket", (run * F.expr(f"shiftleft(1, {max_depth} - depth)")).cast("int"))
 
