@@ -36,6 +36,8 @@ DOCS_AT_ONCE = 2_000
 CHARS_AT_ONCE = 4_000_000
 REMEMBERED = 400_000
 RUN = 400
+#: Tables of ids or n-grams of at most so many rows, 24 bytes each, go to every task; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 LOWERED = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -91,7 +93,9 @@ class Grams:
 
     def of(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         """Distinct n-grams of a text, ascending, and their scores: the higher, the more frequent their words."""
-        at = self.places(text)
+        return self.of_places(self.places(text))
+
+    def of_places(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(at):
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         hashes, scores = self.hash[at], self.score[at]
@@ -143,10 +147,10 @@ def corpus_order(docs: DataFrame, text_col: str, size: int) -> Order:
     """Counts words and n-grams over all documents: those that several of the documents a task holds at a time share."""
 
     def run(batches):
-        known, held, at, chars = Grams(size), [], [], 0
+        known, held, words, chars = Grams(size), [], [], 0
 
         def rows():
-            for kind, keys, least in (("gram", held, COMMON_FROM), ("word", at, WORDS_FROM)):
+            for kind, keys, least in (("gram", held, COMMON_FROM), ("word", words, WORDS_FROM)):
                 found, n = np.unique(np.concatenate(keys), return_counts=True)
                 often = n >= least
                 k = int(often.sum())
@@ -154,12 +158,13 @@ def corpus_order(docs: DataFrame, text_col: str, size: int) -> Order:
 
         for batch in batches:
             for text in raw(batch):
-                held.append(known.of(text)[0])
-                at.append(known.hash[known.places(text)] if text else np.zeros(0, np.uint64))
+                at = known.places(text)
+                held.append(known.of_places(at)[0])
+                words.append(known.hash[at])
                 chars += len(text or b"")
                 if len(held) == DOCS_AT_ONCE or chars > 2 * CHARS_AT_ONCE:
                     yield from rows()
-                    held, at, chars = [], [], 0
+                    held, words, chars = [], [], 0
         if held:
             yield from rows()
 
@@ -208,7 +213,9 @@ def prefix_groups(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     groups = groups.where("size >= 2").groupBy("size", "mark", "anchor").agg(F.min("gram").alias("gram"))
     groups = written(groups.select("gram", "size"), "jaccard-groups")
-    return groups, written(tokens.join(groups, "gram").select("gram", "size", "rep"), "jaccard-members")
+    few = groups.count() <= BROADCAST_ROWS
+    members = tokens.join(F.broadcast(groups) if few else groups, "gram")
+    return groups, written(members.select("gram", "size", "rep"), "jaccard-members")
 
 
 class Trie:
@@ -329,9 +336,6 @@ def search_units(units: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     return joined.groupBy("unit").applyInArrow(run, "a bigint, b bigint")
 
 
-BROADCAST_ROWS = 1_000_000
-
-
 def small(ids: DataFrame) -> DataFrame | None:
     """ids, written, if they are few enough to be sent to every task; else None and a shuffled join does the same."""
     ids = written(ids, "jaccard-ids")
