@@ -1,10 +1,16 @@
-"""Document fingerprints: SimHash over word shingles, and search by permuted block tables.
+"""Document fingerprints: SimHash over word shingles, and search within a Hamming radius.
 
 A document's terms are its five-word shingles (fewer words: the whole sequence); a term's weight is how often it
-occurs. Each term's 128-bit hash votes with its weight, for or against each bit. Fingerprints within Hamming radius r
-agree in at least one of r + 1 blocks of bits. So there is one table for each block, permuted to have
-that block in front; equal front blocks are candidates, and the distance is then computed. Every
-pair is counted in the first table in which it meets.
+occurs. Each term's 128-bit hash votes with its weight, for or against each bit; where votes are equal, the term with the
+smallest hash decides, so that short texts don't lean to the empty text's fingerprint.
+
+Two texts whose shingles have Jaccard similarity J differ in about 128 / pi * acos(2 J / (1 + J)) bits: 19.4 +- 4.1 at 0.8.
+`RADIUS` is two deviations above that, so near copies are found from 0.8 on; unrelated texts differ in 64 +- 5.7 bits.
+
+Fingerprints within a small radius r agree in at least one of r + 1 blocks of bits. So there is one table for each block,
+permuted to have that block in front; equal front blocks are candidates, and the distance is then computed. Every
+pair is counted in the first table in which it meets. At `RADIUS`, blocks would have 4 bits and every pair would meet, so
+there each query is compared with each distinct fingerprint, as whole arrays.
 
 The next document in order of ids is found without a global sort in one task: ids fall into cells of equal width, runs
 of cells form blocks of rows, a block is sorted by one task, and the first row of each block also goes
@@ -26,7 +32,9 @@ from ._shared import documents, written
 
 SHINGLE = 5
 BITS = 128
-RADIUS = 3
+RADIUS = 28
+TABLE_RADII = (1, 3, 7)
+QUERIES_AT_ONCE = 16
 CELLS = 16_384
 ROWS_A_BLOCK = 1_000
 REMEMBERED = 400_000
@@ -71,8 +79,10 @@ class SimHash:
         words = text.lower().split()
         if not words:
             return bytes(BITS // 8)
-        votes = np.unpackbits(self.terms(self.word_hashes(words)).view(np.uint8).reshape(-1, BITS // 8), axis=1)
-        return np.packbits(2 * votes.sum(axis=0, dtype=np.int64) > len(votes)).tobytes()
+        terms = self.terms(self.word_hashes(words))
+        votes = np.unpackbits(terms.view(np.uint8).reshape(-1, BITS // 8), axis=1)
+        lead = 2 * votes.sum(axis=0, dtype=np.int64) - len(votes)
+        return np.packbits(np.where(lead == 0, votes[terms[:, 0].argmin()], lead > 0)).tobytes()
 
 
 @lru_cache(maxsize=1)
@@ -176,9 +186,11 @@ def block_value(block: int, blocks: int, half: str = "{}") -> Column:
 def count_within(queries: DataFrame, corpus: DataFrame, radius: int = RADIUS) -> DataFrame:
     """hi, lo, n: for each distinct fingerprint of queries, how many rows of corpus lie within the radius.
 
-    Both have columns hi and lo. radius + 1 blocks of equal width: radius 1, 3 or 7. Equal fingerprints are counted
-    before the join, so copies meet once.
+    Both have columns hi and lo. Radius 1, 3 or 7 is searched by radius + 1 blocks of equal width, any other by comparing
+    all. Equal fingerprints are counted before the join, so copies meet once.
     """
+    if radius not in TABLE_RADII:
+        return count_by_comparing(queries, corpus, radius)
     blocks = radius + 1
     table = lambda df: df.select("*", F.posexplode(F.array(*[block_value(b, blocks) for b in range(blocks)])).alias("table", "front"))
     left = table(queries.select("hi", "lo").distinct())
@@ -190,6 +202,32 @@ def count_within(queries: DataFrame, corpus: DataFrame, radius: int = RADIUS) ->
     return differs.where(F.col("table") == first).groupBy("hi", "lo").agg(F.sum("n").alias("n"))
 
 
+def count_by_comparing(queries: DataFrame, corpus: DataFrame, radius: int) -> DataFrame:
+    """As count_within, for any radius. The distinct queries go to every task, 16 bytes each; the corpus is dealt out."""
+    spark = corpus.sparkSession
+    asked = queries.select("hi", "lo").distinct().toArrow()
+    held = spark.sparkContext.broadcast([asked.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo")])
+
+    def run(batches):
+        hi, lo = held.value
+        within = np.zeros(len(hi), np.int64)
+        for batch in batches:
+            hi2, lo2 = (batch.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo"))
+            n = batch.column("n").to_numpy()
+            for start in range(0, len(hi) if len(n) else 0, QUERIES_AT_ONCE):
+                some = slice(start, start + QUERIES_AT_ONCE)
+                apart = np.bitwise_count(hi[some, None] ^ hi2) + np.bitwise_count(lo[some, None] ^ lo2)
+                at = np.flatnonzero(apart <= radius)
+                np.add.at(within, start + at // len(n), n[at % len(n)])
+        near = np.flatnonzero(within)
+        columns = [pa.array(x[near].view(np.int64)) for x in (hi, lo, within)]
+        yield pa.RecordBatch.from_arrays(columns, ["hi", "lo", "n"])
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    counted = corpus.groupBy("hi", "lo").agg(F.count("*").alias("n")).repartition(tasks, "hi", "lo")
+    return counted.mapInArrow(run, "hi bigint, lo bigint, n bigint").groupBy("hi", "lo").agg(F.sum("n").alias("n"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adds near_docs: for ids divisible by 100, how many other documents have a fingerprint within the radius; else null."""
     found = written(fingerprint_documents(documents(spark, sf_dir)), "fingerprints")

@@ -94,6 +94,47 @@ def test_search_within_a_radius(spark, radius):
         assert got[h] == sum((p ^ q).bit_count() <= radius for q in points)
 
 
+@pytest.mark.parametrize("radius", [0, 5, 28])
+def test_search_within_any_radius(spark, radius):
+    rng = random.Random(radius)
+    centres = [rng.getrandbits(128) for _ in range(6)]
+    points = [c ^ sum(1 << b for b in rng.sample(range(128), rng.randrange(0, radius + 2))) for c in centres for _ in range(12)] + centres[:2] * 2
+    halves = [fingerprints.halves(p.to_bytes(16, "big")) for p in points]
+    df = spark.createDataFrame(halves, "hi bigint, lo bigint")
+    got = {(r["hi"], r["lo"]): r["n"] for r in fingerprints.count_within(df.limit(20), df, radius).collect()}
+    assert got == {h: sum((p ^ q).bit_count() <= radius for q in points) for p, h in list(zip(points, halves, strict=True))[:20]}
+    assert fingerprints.count_within(df.limit(0), df, radius).count() == fingerprints.count_within(df, df.limit(0), radius).count() == 0
+
+
+def test_near_copies_of_edited_texts_are_found(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghilmnoprstuv") for _ in range(rng.randrange(2, 9))) for _ in range(600)]
+    simhash, pairs = fingerprints.SimHash(), []
+    for _ in range(400):
+        own = [rng.choice(words) for _ in range(rng.randrange(40, 400))]
+        edited = list(own)
+        for _ in range(max(1, int(len(own) * rng.uniform(0.003, 0.022)))):
+            k = rng.randrange(len(edited))
+            edited[k : k + rng.randrange(2)] = [rng.choice(words)]
+        a, b = shingles(" ".join(own), 5), shingles(" ".join(edited), 5)
+        if len(a & b) >= 0.8 * len(a | b):
+            pairs.append((" ".join(own), " ".join(edited)))
+    prints = [[fingerprints.halves(simhash.fingerprint(t)) for t in pair] for pair in pairs]
+    asked = spark.createDataFrame([p[0] for p in prints], "hi bigint, lo bigint")
+    corpus = spark.createDataFrame([p[1] for p in prints], "hi bigint, lo bigint")
+    found = fingerprints.count_within(asked, corpus).collect()
+    assert len(pairs) > 250 and len(found) >= 0.95 * len(pairs)
+    assert sum(r["n"] for r in found) == len(found)  # nobody else's copy
+
+
+def test_short_texts_are_not_near_the_empty_text():
+    simhash, rng = fingerprints.SimHash(), random.Random(1)
+    for n in (6, 8):  # two and four shingles: votes are often equal
+        texts = [" ".join(str(rng.random()) for _ in range(n)) for _ in range(100)]
+        ones = [int.from_bytes(simhash.fingerprint(t), "big").bit_count() for t in texts]
+        assert min(ones) > fingerprints.RADIUS and abs(sum(ones) / len(ones) - 64) < 3
+
+
 def shingles(text, size):
     words = lowered(text).replace("\x0b", " ").split() if text else []
     return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
