@@ -2,7 +2,8 @@
 
 P(grade > k) = sigmoid(eta - t_k), with thresholds t_1 < t_2 < ... that all grades share and one linear predictor eta
 from hashed text: the shapes of words (letters as a, capitals as A, digits as 0, runs as one), pairs of successive shapes, and
-repeats of the word before. eta is the mean weight over a text's words, drawn to 0 for very short texts.
+repeats of the word before. A run of more than `LONG` characters without white space counts as words of `PIECE` characters each,
+so unspaced texts are judged on all they hold. eta is the mean weight over a text's words, drawn to 0 for very short texts.
 The expected grade and the probability of reaching the target grade follow from eta by built-in expressions.
 
 The model is fitted on a bounded sample of rated documents (`SAMPLE`, the smallest hashes of ids); every document is scored
@@ -31,6 +32,8 @@ TARGET = 1
 KEEP_FROM = 0.5
 DRAW = 4
 REMEMBERED = 300_000
+LONG = 64
+PIECE = 16
 RUNS = re.compile(r"(.)\1+")
 
 _shapes: dict[str, int] = {}
@@ -38,19 +41,31 @@ _shapes: dict[str, int] = {}
 
 def shape(word: str) -> int:
     """The slot of a word's shape: letters a or A, digits 0, other signs as they are, runs as one."""
-    kinds = "".join(["a" if c.islower() else "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64]])
+    kinds = "".join(["a" if c.islower() else "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word])
     return zlib.crc32(RUNS.sub(r"\1", kinds).encode("utf-8", "surrogatepass")) % SLOTS
 
 
+def pieces(words: list[str]) -> list[str]:
+    """The words; those of more than LONG characters cut into runs of PIECE, the last one shorter."""
+    out = []
+    for w in words:
+        out += [w[i : i + PIECE] for i in range(0, len(w), PIECE)] if len(w) > LONG else [w]
+    return out
+
+
 def slots(text: str) -> tuple[np.ndarray, int]:
-    """Slots of all features of a text, and its number of words."""
+    """Slots of all features of a text, and its number of words, long ones in pieces."""
     words = text.split()
     if not words:
         return np.zeros(0, np.int64), 0
     known = _shapes
     if len(known) > REMEMBERED:
         known.clear()
-    for w in set(words).difference(known):
+    new = set(words).difference(known)
+    if any(len(w) > LONG for w in new):  # long ones are never known
+        words = pieces(words)
+        new = set(words).difference(known)
+    for w in new:
         known[w] = shape(w)
     own = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
     pairs = SLOTS + (own[:-1] * 31 + own[1:]) % SLOTS

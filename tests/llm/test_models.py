@@ -53,6 +53,28 @@ def test_quality_edge_cases(spark):
     assert quality.score_quality(documents(spark, []), model).count() == 0
 
 
+def test_all_of_an_unspaced_text_counts():
+    rng = random.Random(4)
+    calm = lambda: "".join(rng.choice("東京大阪名古屋") for _ in range(1000))
+    loud = lambda: "".join(rng.choice("ABCDEF") + "!!" for _ in range(333))
+    head = "文" * 64
+    rows = [(k % 2, head + (calm() if k % 2 else loud())) for k in range(60)]
+    read = []
+    for grade, text in rows[:40]:
+        own, n = quality.slots(text)
+        held, counts = np.unique(own, return_counts=True)
+        read.append((grade, held, counts / (n + quality.DRAW)))
+        assert n == -(-len(text) // quality.PIECE)
+    model = quality.fit(read)
+    etas = [(model.eta(text) > model.thresholds[0]) == bool(grade) for grade, text in rows[40:]]
+    assert all(etas)
+    for k in (1, 63, 64):
+        assert quality.pieces(["a" * k, "b"]) == ["a" * k, "b"]
+    assert "".join(quality.pieces(["ab" * 500])) == "ab" * 500 and max(map(len, quality.pieces(["ab" * 500]))) <= quality.LONG
+    # Once more, now that pieces are known.
+    assert quality.slots("x " + "ab" * 500)[1] == 1 + len(quality.pieces(["ab" * 500]))
+
+
 def insulted(count=900, seed=2):
     rng = random.Random(seed)
     bad = ["grumblefink", "snotweasel", "dribblox", "vexquat", "vexquem", "vexquor"]
