@@ -4,7 +4,8 @@ A text's blocks are runs of `BLOCK` words, one starting at every `BLOCK / 2` wor
 it holds at least `CONTAINMENT` of the template's distinct words. Template words are ordered by how many
 documents of the whole corpus hold them, rarest first; a block that matches must hold one of the first
 |T| - need + 1 words (prefix), have at least `need` distinct words (length), and, if its first shared
-word is the i-th, still have |T| - i >= need (positional). What passes is verified. Only documents that hold some
+word is the i-th, still have |T| - i >= need (positional). What passes is verified, and must hold those of the template's words
+that tell related licenses apart (`DISTINGUISHING`), however short the template. Only documents that hold some
 prefix word look at blocks at all. Templates are a fixed list; the words counted are theirs alone.
 """
 
@@ -39,6 +40,9 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 
+#: Words without which a block matches no template that has them: all others are common to related licenses.
+DISTINGUISHING = frozenset({b"apache", b"gnu", b"mozilla", b"nc", b"sharealike"})
+
 #: ASCII bytes that are no letters or digits become spaces, A-Z become a-z; bytes from 0x80 on stay.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
@@ -92,7 +96,7 @@ class Templates:
         for k, (label, text) in enumerate(templates):
             ordered = sorted(set(text.encode().split()), key=lambda w: (frequencies.get(w, 0), w))
             need = max(1, ceil(containment * len(ordered) - 1e-9))
-            self.rows.append((label, ordered, need))
+            self.rows.append((label, ordered, need, DISTINGUISHING.intersection(text.encode().split())))
             for w in ordered[: len(ordered) - need + 1]:
                 self.by_prefix.setdefault(w, []).append(k)
         self.prefixes = frozenset(self.by_prefix)
@@ -112,8 +116,8 @@ class Templates:
         for start, candidates in starts.items():
             own = set(words[start : start + block])
             for k in candidates:
-                label, ordered, need = self.rows[k]
-                if len(own) < need:
+                label, ordered, need, must = self.rows[k]
+                if len(own) < need or not own.issuperset(must):
                     continue
                 first = next((i for i, w in enumerate(ordered) if w in own), len(ordered))
                 if len(ordered) - first < need:
