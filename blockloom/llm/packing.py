@@ -1,9 +1,11 @@
 """Packing by cutting-stock column generation.
 
 Every document's tokens are cut into pieces of the full length and one rest. Rests are pieces of a histogram
-with `LENGTH / QUANTUM` classes, whatever the input's size. A linear program chooses how often each pattern
+with at most `SHORT` + `LENGTH / QUANTUM` classes, whatever the input's size: exact lengths up to `SHORT`, above that lengths rounded up
+to multiples of `QUANTUM`. Of the pieces above `SHORT`, a linear program chooses how often each pattern
 of classes fills a sequence; a knapsack dynamic program prices new patterns until none improves it. The
-solution is rounded down, what is left over is packed best fit decreasing, and the pieces of each class,
+solution is rounded down, what is left over is packed best fit decreasing. Short pieces, longest first, fill the room that
+patterns leave and then sequences of their own, to the token. The pieces of each class,
 ranked over all tasks, take the places that the patterns offer.
 
 The driver sees the histogram only. Ranks within a class come from counts by task, so no class, however
@@ -26,6 +28,7 @@ from .tokens import default_vocabulary, fragments
 
 LENGTH = 2048
 QUANTUM = 8
+SHORT = 128
 END_ID = 1
 GAP = 1e-3
 MOST_STEPS = 8_000
@@ -119,6 +122,34 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, i
     return out
 
 
+def poured(plan: list[tuple[dict[int, int], int]], left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """plan with the pieces left, by exact length, in the room of its sequences and in further sequences."""
+    left = {w: n for w, n in left.items() if n}
+    todo, out = plan[::-1], []
+    while todo or left:
+        own, times = todo.pop() if todo else ({}, max(left.values()))
+        room, more = capacity - sum(w * k for w, k in own.items()), {}
+        for w in sorted(left, reverse=True):
+            if k := min(room // w, left[w]):
+                more[w] = k
+                room -= k * w
+        now = min([times, *(left[w] // k for w, k in more.items())])
+        out.append((own | more, now))
+        for w, k in more.items():
+            left[w] -= k * now
+        left = {w: n for w, n in left.items() if n}
+        if own and now < times:
+            todo.append((own, times - now))
+    return out
+
+
+def planned(histogram: dict[int, int], length: int, quantum: int) -> list[tuple[dict[int, int], int]]:
+    """As patterns, by classes in tokens: exact lengths up to SHORT, multiples of quantum above."""
+    rounded = {w // quantum: n for w, n in histogram.items() if w > SHORT}
+    plan = [({w * quantum: k for w, k in own.items()}, times) for own, times in patterns(rounded, length // quantum)]
+    return poured(plan, {w: n for w, n in histogram.items() if w <= SHORT}, length)
+
+
 def places(plan: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By class: where runs of ranks start, pieces in a sequence there, and the run's first sequence."""
     found: dict[int, list[tuple[int, int, int]]] = {}
@@ -146,9 +177,10 @@ def cut_pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, len
                 n = len(ids) // 4
                 for start in range(0, n, length):
                     piece = ids[4 * start : 4 * (start + length)]
-                    kind = -(-len(piece) // 4 // quantum)
+                    held = len(piece) // 4
+                    kind = held if held <= SHORT else -(-held // quantum) * quantum
                     rank = ranks[kind] = ranks.get(kind, -1) + 1
-                    for k, v in zip(rows, (key, start, len(piece) // 4, zlib.crc32(piece), n, kind, rank), strict=True):
+                    for k, v in zip(rows, (key, start, held, zlib.crc32(piece), n, kind, rank), strict=True):
                         rows[k].append(v)
             arrays = [pa.array(v, batch.schema.field(0).type if k == "id" else pa.int64()) for k, v in rows.items()]
             arrays.append(pa.array([task] * len(rows["id"]), pa.int64()))
@@ -176,7 +208,7 @@ def pack(
     pieces = written(pieces, "pack-pieces")
     held = pieces.groupBy("task", "class").agg(F.count("*").alias("held"))
     by_class = {r["class"]: r["n"] for r in held.groupBy("class").agg(F.sum("held").alias("n")).collect()}
-    found = places(patterns(by_class, length // quantum))
+    found = places(planned(by_class, length, quantum))
 
     before = held.withColumn("before", F.sum("held").over(W.partitionBy("class").orderBy("task")) - F.col("held")).drop("held")
     ranked = pieces.join(before, ["task", "class"]).withColumn("rank", F.col("rank") + F.col("before"))
