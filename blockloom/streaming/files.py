@@ -25,7 +25,7 @@ def pack_stream(rows: DataFrame, folder: str, checkpoint: str, level: int = 9) -
 
 
 def unpack_stream(spark: SparkSession, folder: str, target: str, checkpoint: str, files_a_batch: int = 64) -> StreamingQuery:
-    """Files *.bz2 that arrive under a folder, as lines in Parquet; a damaged file stops the query, and none of its lines is written."""
+    """Files *.bz2 that arrive under a folder, as lines in Parquet, empty lines too; an empty file has none. A damaged file stops the query, and none of its lines is written."""
     files = (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length bigint, content binary")
@@ -39,7 +39,9 @@ def unpack_stream(spark: SparkSession, folder: str, target: str, checkpoint: str
         got = batch.select("path", codec.decompressed(F.col("content")).alias("got"))
         bad = F.raise_error(F.concat(F.col("path"), F.lit(": "), F.col("got.error"))).cast("string")
         text = F.when(F.col("got.error").isNull(), F.decode("got.raw", "UTF-8")).otherwise(bad)
-        lines = got.select(F.explode(F.split(F.rtrim(text, F.lit("\n")), "\n")).alias("line")).where("line <> ''")
+        texts = got.select(text.alias("text")).where("text <> ''")
+        ended = F.when(F.endswith("text", F.lit("\n")), F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))
+        lines = texts.select(F.explode(F.split(ended, "\n")).alias("line"))
         lines.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
