@@ -451,12 +451,41 @@ def jaccard_components(
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs that stay, with their own columns: of each component the one with the smallest id, once."""
-    names = jaccard_components(docs, id_col, text_col, size, num, den)
-    stay = names.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__stays")).distinct()
-    kept = docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__stays")), "left_semi")
-    one = W.partitionBy(id_col).orderBy(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return kept.withColumn("__n", F.row_number().over(one)).where(F.col(id_col).isNull() | (F.col("__n") == 1)).select(*docs.columns)
+    """The rows of docs that stay, with their own columns: of each component the one with the smallest id, once.
+
+    Rows that share an id but not the text are documents of their own.
+    """
+    rows, others = with_rows(docs, id_col, text_col)
+    names = jaccard_components(rows, "__row", text_col, size, num, den)
+    if others is None:
+        stay = names.where(F.col("__row").eqNullSafe(F.col("component_id"))).select(F.col("__row").alias("__stays")).distinct()
+    else:
+        # The component's id is its smallest row; of its rows, the one with the smallest id of docs stays.
+        named = names.join(others.select("__row", "id"), "__row", "left")
+        first = F.min(F.struct(F.coalesce("id", "__row").alias("id"), F.col("__row")))
+        stay = named.groupBy("component_id").agg(first.alias("first")).select(F.col("first.__row").alias("__stays"))
+    kept = rows.join(stay, F.col("__row").eqNullSafe(F.col("__stays")), "left_semi")
+    one = W.partitionBy("__row").orderBy(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    return kept.withColumn("__n", F.row_number().over(one)).where(F.col("__row").isNull() | (F.col("__n") == 1)).select(*docs.columns)
+
+
+def with_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """docs with __row, an id that different texts don't share; and the rows (__row, id, key) whose __row isn't their id, if any.
+
+    Of the texts of an id the one with the smallest hash has the id itself; the others get numbers above all ids. Null ids stay null.
+    """
+    own, key = F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    keys = docs.select(own.alias("id"), key.alias("key")).where("id is not null")
+    shared = keys.groupBy("id").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last")
+    shared = written(shared.select("id", "first"), "jaccard-shared")
+    if shared.isEmpty():
+        return docs.withColumn("__row", own), None
+    beyond = keys.agg(F.max("id")).first()[0] + 1
+    others = keys.join(shared, "id").where("key <> first").select("id", "key").distinct()
+    others = written(others.withColumn("__row", F.lit(beyond) + F.monotonically_increasing_id()), "jaccard-rows")
+    marked = others.toDF("__id", "__key", "__other")
+    rows = docs.join(marked, (own == F.col("__id")) & (key == F.col("__key")), "left")
+    return rows.withColumn("__row", F.coalesce("__other", own)).drop("__id", "__key", "__other"), others
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
