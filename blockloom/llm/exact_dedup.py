@@ -1,4 +1,6 @@
-"""Exact deduplication by an extendible-hash index on shared files.
+"""Exact deduplication by a hash aggregate over hash and whole text, with an extendible-hash index of its groups.
+
+The groups are finished before there is a directory; the index adds columns and routes no texts.
 
 Each distinct normalised text gets one index entry. The directory has one slot for each value of the
 first `MAX_DEPTH` bits of a text's hash; a bucket is the largest aligned run of slots whose entries fit
