@@ -167,17 +167,15 @@ def cut_pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, len
     """A row for each piece, with the task that cut it and its rank among that task's pieces of its class."""
 
     def run(batches):
-        known, task, ranks = fragments(vocabulary, decode=False), TaskContext.get().partitionId(), {}
-        end = np.array([END_ID], "<u4").tobytes()
+        known, task, ranks = fragments(vocabulary), TaskContext.get().partitionId(), {}
+        end = np.array([END_ID], "<u4")
         for batch in batches:
             rows = {k: [] for k in ("id", "start", "length", "crc", "tokens", "class", "rank")}
-            keys = batch.column(0).to_pylist()
-            for key, got in zip(keys, known.encode([t or "" for t in batch.column("__text").to_pylist()]), strict=True):
-                ids = b"".join([g[0] for g in got]) + end
-                n = len(ids) // 4
+            for key, ids in zip(batch.column(0).to_pylist(), known.encode(batch.column("__text")), strict=True):
+                ids, n = np.append(ids, end), len(ids) + 1
                 for start in range(0, n, length):
-                    piece = ids[4 * start : 4 * (start + length)]
-                    held = len(piece) // 4
+                    piece = ids[start : start + length]
+                    held = len(piece)
                     kind = held if held <= SHORT else -(-held // quantum) * quantum
                     rank = ranks[kind] = ranks.get(kind, -1) + 1
                     for k, v in zip(rows, (key, start, held, zlib.crc32(piece), n, kind, rank), strict=True):

@@ -3,11 +3,15 @@
 A cut between two bytes is certain where the pair never occurs inside any token of the vocabulary and the
 splitting into words separates the two as well (this vocabulary marks word ends, so a cut inside a word
 would change its tokens). White space is never part of a token. Fragments between certain cuts are encoded
-each on its own, a repeated fragment once, and the ids are concatenated.
+each on its own, a fragment that repeats within a few megabytes once, and the ids are concatenated.
 
-The cut table comes from the vocabulary file; nothing is known of single words in advance. A worker
-remembers the fragments of the last while in two generations of at most `REMEMBERED` entries each, so its
-memory does not grow with the input.
+Cuts are found for whole buffers of text at a time. Most fragments are runs of letters or of signs, each one word: all those
+of a length stand in a matrix, and every step merges each row's first pair of the lowest rank. Long words are cut inside, too, where a pair is in
+no token; their parts but the last have no word end. Fragments with other characters go to the tokenizers library, one by one.
+
+The cut table and the merges come from the vocabulary file; nothing is known of single words in advance. Texts are taken in
+slices of about `BYTES_AT_ONCE`, so memory is bounded in bytes, but for a single fragment and for the ids of one text.
+The short fragments that the library encoded are remembered, at most `REMEMBERED` bytes of them.
 """
 
 from __future__ import annotations
@@ -15,10 +19,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +28,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._shared import documents
 
-REMEMBERED = 300_000
-CHARS_AT_ONCE = 1_000_000
-#: White space of the vocabulary's own rules; str.split() takes 0x1C-0x1F too.
-SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-NOT_SPACE = re.compile("[\x1c-\x1f]")
-#: Between ASCII characters of two kinds, and around ASCII digits.
-KINDS = re.compile(
-    "(?<=[A-Za-z])(?=[\x00-@\\[-`{-\x7f])|(?<=[\x00-@\\[-`{-\x7f])(?=[A-Za-z])|(?<=[0-9])(?=[\x00-\x7f])|(?<=[\x00-\x7f])(?=[0-9])"
+BYTES_AT_ONCE = 4_000_000
+TOKENS_AT_ONCE = 1_000_000
+REMEMBERED = 16_000_000
+#: Longer fragments go to the library and are not remembered.
+LONG = 48
+ROWS_AT_ONCE = 8_192
+#: Longer than any special token.
+EDGE = 16
+
+MARKED, LETTER, DIGIT, SIGN, SPACE = range(5)
+#: By byte; 0x1C-0x1F are signs to this vocabulary. Bytes from 0x80 on are in doubt, but for letters up to U+00FF.
+KIND = np.array(
+    [MARKED if b >= 128 else SPACE if b == 32 or 9 <= b <= 13 else LETTER if chr(b).isalpha() else DIGIT if chr(b).isdigit() else SIGN for b in range(256)], np.uint8
 )
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+LATIN = 0xC3  # the lead byte of U+00C0 to U+00FF, all letters but U+00D7 and U+00F7
+#: More characters of three bytes that nothing changes and whose kind is sure: (first, last, kind).
+WIDE = ((0x3001, 0x3002, SIGN), (0x3041, 0x3096, LETTER), (0x30A1, 0x30FA, LETTER), (0x4E00, 0x9FBF, LETTER), (0xFF01, 0xFF01, SIGN), (0xFF0C, 0xFF0C, SIGN))
+#: First letters of the endings that the vocabulary's word rule takes together with an apostrophe.
+ENDINGS = b"strvmld"
 
 
 def default_vocabulary() -> str:
@@ -50,29 +63,128 @@ def byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def certain_cuts(vocabulary: Iterable[str], word_end: str) -> bytearray:
-    """65,536 flags, by first byte * 256 + second byte. Only pairs of ASCII bytes can be certain."""
-    inside, to_byte = set(), byte_of()
+def never_inside(vocabulary: Iterable[str], word_end: str) -> np.ndarray:
+    """65,536 flags, by first byte * 256 + second byte: the pair is in no token, nor does an ending start there."""
+    flags, to_byte = np.ones(65536, bool), byte_of()
     for token in vocabulary:
         raw = [to_byte[c] for c in token.removesuffix(word_end)]
-        inside.update(zip(raw, raw[1:], strict=False))
-    kind = ["letter" if chr(b).isalpha() else "digit" if chr(b).isdigit() else "other" for b in range(128)]
-    flags = bytearray(65536)
-    for a in range(128):
-        for b in range(128):
-            apart = kind[a] != kind[b] or kind[a] == "digit"
-            low = lambda x: ord(chr(x).lower())
-            flags[a << 8 | b] = apart and (low(a), low(b)) not in inside
+        for a, b in zip(raw, raw[1:], strict=False):
+            flags[a << 8 | b] = False
+    flags[[39 << 8 | c for c in ENDINGS]] = False
     return flags
 
 
-LOWERED = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of texts, and where each row starts and the last one ends; null texts are empty."""
+    held = column.cast(pa.large_binary()).fill_null(b"")
+    starts = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
+    data = np.frombuffer(held.buffers()[2] or b"", np.uint8)[starts[0] : starts[-1]]
+    return data, starts - starts[0]
+
+
+def binary(data: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The reverse of `flat`."""
+    buffers = [None, pa.py_buffer(np.ascontiguousarray(starts, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
+    return pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, buffers)
+
+
+def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The indices of all runs, one after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def kinds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each byte, and where the second bytes of capitals beyond ASCII are."""
+    kind = KIND[data]
+    lead = np.flatnonzero(data[:-1] == LATIN)
+    second = data[lead + 1]
+    lead = lead[(second != 0x97) & (second != 0xB7)]
+    kind[lead] = kind[lead + 1] = LETTER
+    wide = np.flatnonzero(data[:-2] >= 0xE3)
+    wide = wide[data[wide] < 0xF0]
+    if len(wide):
+        point = (data[wide].astype(np.int64) & 15) << 12 | (data[wide + 1].astype(np.int64) & 63) << 6 | data[wide + 2] & 63
+        for first, last, own in WIDE:
+            at = wide[(point >= first) & (point <= last)]
+            kind[at] = kind[at + 1] = kind[at + 2] = own
+    return kind, lead[data[lead + 1] < 0x9F] + 1
+
+
+class Merges:
+    """The vocabulary's merges on matrices of symbols."""
+
+    NONE = np.int32(1 << 30)
+
+    def __init__(self, vocabulary: dict[str, int], merges: list, word_end: str):
+        stands_for = {b: c for c, b in byte_of().items()}
+        self.inner = np.array([vocabulary[stands_for[b]] for b in range(256)], np.int32)
+        self.last = np.array([vocabulary[stands_for[b] + word_end] for b in range(256)], np.int32)
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
+        self.result = np.array([vocabulary[a + b] for a, b in pairs], np.int32)
+        keys = np.array([vocabulary[a] << 16 | vocabulary[b] for a, b in pairs], np.uint64)
+        # A table by hash, in which a key stands at most `probes` places behind its own.
+        bits = max(4, int(len(keys)).bit_length() + 2)
+        self.shift, self.mask = np.uint64(32 - bits), (1 << bits) - 1
+        self.keys, self.ranks, self.probes = np.full(1 << bits, -1, np.int64), np.full(1 << bits, self.NONE, np.int32), 1
+        for rank, (key, at) in enumerate(zip(keys.tolist(), self.place(keys).tolist(), strict=True)):
+            away = 1
+            while self.keys[at] >= 0:
+                at, away = at + 1 & self.mask, away + 1
+            self.keys[at], self.ranks[at], self.probes = key, rank, max(self.probes, away)
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)) >> self.shift).astype(np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair's merge; NONE if there is none."""
+        keys = a.astype(np.int64) << 16 | b
+        at = self.place(keys.view(np.uint64))
+        held = self.keys[at]
+        out = np.where(held == keys, self.ranks[at], self.NONE)
+        open_ = np.nonzero((held != keys) & (held >= 0))
+        for _ in range(1, self.probes):
+            if not len(open_[0]):
+                break
+            at[open_] = at[open_] + 1 & self.mask
+            held, wanted = self.keys[at[open_]], keys[open_]
+            out[open_] = np.where(held == wanted, self.ranks[at[open_]], self.NONE)
+            open_ = tuple(x[(held != wanted) & (held >= 0)] for x in open_)
+        return out
+
+    def words(self, raw: np.ndarray, ended: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, their ids) for words of one length, one word's bytes in each row; all rows of a yield have as many ids.
+        ended: their ends are ends of words."""
+        symbols = self.inner[raw]
+        if ended:
+            symbols[:, -1] = self.last[raw[:, -1]]
+        rows, ranks = np.arange(len(raw)), self.rank(symbols[:, :-1], symbols[:, 1:])
+        while symbols.shape[1] > 1:
+            at = ranks.argmin(1)
+            least = ranks[np.arange(len(rows)), at]
+            done = least == self.NONE
+            if done.any():
+                yield rows[done], symbols[done]
+                rows, symbols, ranks, at, least = (x[~done] for x in (rows, symbols, ranks, at, least))
+                if not len(rows):
+                    return
+            here, column = np.arange(len(rows)), np.arange(symbols.shape[1] - 1)
+            behind = column > at[:, None]
+            symbols = np.where(behind, symbols[:, 1:], symbols[:, :-1])
+            symbols[here, at] = self.result[least]
+            ranks = np.where(column[:-1] >= at[:, None], ranks[:, 1:], ranks[:, :-1])
+            left = np.flatnonzero(at > 0)
+            ranks[left, at[left] - 1] = self.rank(symbols[left, at[left] - 1], symbols[left, at[left]])
+            right = np.flatnonzero(at < symbols.shape[1] - 1)
+            ranks[right, at[right]] = self.rank(symbols[right, at[right]], symbols[right, at[right] + 1])
+        if len(rows):
+            yield rows, symbols
 
 
 class Fragments:
     """Encodes texts with the vocabulary of one file."""
 
-    def __init__(self, path: str, decode: bool = True, remembered: int = REMEMBERED):
+    def __init__(self, path: str, remembered: int = REMEMBERED, at_once: int = BYTES_AT_ONCE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -81,114 +193,205 @@ class Fragments:
         self.whole.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.end = spec["model"]["end_of_word_suffix"] or ""
-        self.sure = certain_cuts(spec["model"]["vocab"], self.end)
-        self.special = [t["content"] for t in spec["added_tokens"]]
-        # Without an apostrophe, cuts are certain between all kinds of ASCII characters.
-        ascii_kind = ["a" if chr(b).isalpha() else "0" if chr(b).isdigit() else "." for b in range(128)]
-        self.by_kind = all(
-            self.sure[a << 8 | b] for a in range(128) for b in range(128) if 39 not in (a, b) and (ascii_kind[a] != ascii_kind[b] or ascii_kind[a] == "0")
-        )
+        model, end = spec["model"], spec["model"]["end_of_word_suffix"] or ""
+        self.sure = never_inside(model["vocab"], end)
+        self.merges = Merges(model["vocab"], model["merges"], end)
+        self.special = [t["content"].encode() for t in spec["added_tokens"]]
         names = self.whole.get_vocab(with_added_tokens=True)
-        self.name = [""] * (max(names.values()) + 1)
-        for token, i in names.items():
-            self.name[i] = token
-        self.ends_word = np.array([t.endswith(self.end) and t not in self.special for t in self.name])
-        self.decode, self.remembered = decode, remembered
-        self.words: list[dict] = [{}, {}]  # of fragments between spaces: ids as bytes, decoded text
-        self.parts: list[dict] = [{}, {}]  # of fragments between certain cuts: ids
-
-    def split(self, text: str) -> list[str]:
-        """text's fragments between spaces. A-Z become a-z first, as the vocabulary has it, where this changes nothing else:
-        no special token may be there, and no letter that would join with a mark behind it in one case only."""
-        if "<|" not in text:
-            low = text.encode("utf-8", "surrogatepass").translate(LOWERED).decode("utf-8", "surrogatepass")
-            if text.isascii() or is_normalized("NFC", low) and is_normalized("NFC", text):
-                text = low
-        return [x for x in SPACE.split(text) if x] if NOT_SPACE.search(text) else text.split()
-
-    def cut(self, word: str) -> list[str]:
-        """word's fragments. ASCII ones are lower-cased, as the vocabulary's own rules do first of all."""
-        if "<|" in word:
-            if any(s in word for s in self.special):
-                return [word]
-        elif self.by_kind and "'" not in word:
-            return KINDS.split(word)
-        raw, start, out, sure = word.encode("utf-8", "surrogatepass"), 0, [], self.sure
-        for i in range(1, len(raw)):
-            if sure[raw[i - 1] << 8 | raw[i]]:
-                out.append(raw[start:i])
-                start = i
-        out.append(raw[start:])
-        return [x.lower().decode() if x.isascii() else x.decode("utf-8", "surrogatepass") for x in out]
-
-    def _known(self, store: list[dict], keys: set) -> list:
-        """The keys that neither generation has; those of the older one move to the newer."""
-        new, old = store
-        missing = []
-        for k in keys:
-            if k not in new:
-                if k in old:
-                    new[k] = old[k]
-                else:
-                    missing.append(k)
-        return missing
-
-    def _age(self, store: list[dict]) -> None:
-        if len(store[0]) > self.remembered:
-            store[:] = [{}, store[0]]
-
-    def _encode_parts(self, parts: list[str]) -> None:
-        """Runs of letters are single words: many go in one call, and word ends tell them apart."""
-        known, plain = self.parts[0], [p for p in parts if p.isalpha()]
-        rest = [p for p in parts if not p.isalpha()]
-        groups = [plain[i : i + 512] for i in range(0, len(plain), 512)]
-        for group, e in zip(groups, self.whole.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) != len(group):
-                rest += group
+        by_id = {i: token for token, i in names.items()}
+        self.names = pa.array([by_id.get(i, "").encode() + b" " for i in range(max(by_id) + 1)], pa.large_binary())
+        self.remembered, self.at_once = remembered, at_once
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, np.ndarray] = {}
+        self.held = 0
+
+    def by_library(self, fragments: list[bytes]) -> list[np.ndarray]:
+        """Each fragment's ids, as the library has them; short fragments are remembered."""
+        if self.held > self.remembered:
+            self.forget()
+        out = [self.known.get(f) for f in fragments]
+        missing, count = [k for k, got in enumerate(out) if got is None], 0
+        while count < len(missing):
+            some, size = [], 0
+            while count < len(missing) and (not some or size < self.at_once // 8):
+                some.append(missing[count])
+                size += len(fragments[missing[count]])
+                count += 1
+            texts = [fragments[k].decode("utf-8", "surrogatepass") for k in some]
+            for k, e in zip(some, self.whole.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                out[k] = np.array(e.ids, "<u4")
+                if len(fragments[k]) <= LONG:
+                    self.known[fragments[k]] = out[k]
+                    self.held += len(fragments[k]) + 200
+        return out
+
+    def long_words(self, data: np.ndarray, starts: np.ndarray, at: np.ndarray) -> dict[int, np.ndarray]:
+        """The ids of these fragments, long runs of letters, by number: cut inside where no token can reach. One with a part that is still
+        long has none."""
+        lengths = starts[at + 1] - starts[at]
+        raw, first = data[runs(starts[at], lengths)], np.cumsum(lengths) - lengths
+        begins = np.ones(len(raw) + 1, bool)
+        begins[1:-1] = self.sure[raw[:-1].astype(np.int64) << 8 | raw[1:]]
+        begins[first] = True
+        part = np.flatnonzero(begins)
+        size, part = np.diff(part), part[:-1]
+        begun = np.searchsorted(part, first)
+        good = np.maximum.reduceat(size, begun) <= LONG
+        owner = np.searchsorted(first, part, side="right") - 1
+        last = np.append(owner[1:] != owner[:-1], True)
+        counts, found = np.zeros(len(part), np.int64), []
+        for ended in (False, True):
+            some = np.flatnonzero(good[owner] & (last == ended))
+            if len(some):
+                coded = binary(raw[runs(part[some], size[some])], np.append(0, np.cumsum(size[some]))).dictionary_encode()
+                ids, held = self.plain(*flat(coded.dictionary), ended)
+                which = coded.indices.to_numpy()
+                counts[some] = held[which]
+                found.append((some, ids[runs((np.cumsum(held) - held)[which], held[which])]))
+        place = np.append(0, np.cumsum(counts))
+        out = np.empty(int(place[-1]), "<u4")
+        for some, ids in found:
+            out[runs(place[some], counts[some])] = ids
+        ends = place[np.append(begun[1:], len(part))]
+        return {k: out[lo:hi] for k, lo, hi, ok in zip(at.tolist(), place[begun].tolist(), ends.tolist(), good.tolist(), strict=True) if ok}
+
+    def certain(self, kind: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """The places of bytes that a certain cut parts from the one before."""
+        a, b = kind[:-1], kind[1:]
+        apart = np.flatnonzero(((a != b) | (a == DIGIT)) & (a != MARKED) & (b != MARKED) & (a != SPACE) & (b != SPACE))
+        return apart[self.sure[low[apart].astype(np.int64) << 8 | low[apart + 1]]] + 1
+
+    def cut(self, data: np.ndarray, starts: np.ndarray, special: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Fragments of the rows that start there: their bytes without white space, where each starts in these, and how many
+        there are before each row. ASCII and Latin capitals become small, as the vocabulary's rules do first of all, but for a letter
+        that something may join. special: cut at white space only."""
+        kind, capitals = kinds(data)
+        low = LOWER[data]
+        low[capitals] += 0x20
+        begins = np.zeros(len(data) + 1, bool)
+        begins[starts] = True
+        space = kind == SPACE
+        begins[1:][space] = True
+        if not special:
+            begins[self.certain(kind, low)] = True
+        joined = kind[1:] == MARKED
+        joined[starts[(starts > 0) & (starts < len(data))] - 1] = False
+        joined = np.flatnonzero(joined)
+        low[joined] = data[joined]
+        if special:
+            low = data
+        kept = ~space
+        first = np.flatnonzero(begins[:-1] & kept)
+        packed = np.cumsum(kept)[first] - 1
+        bytes_ = low[kept]
+        return bytes_, np.append(packed, len(bytes_)), np.searchsorted(first, starts)
+
+    def plain(self, data: np.ndarray, starts: np.ndarray, ended: bool, wanted: np.ndarray | None = None, others: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the fragments, one after another, and how many each has: by matrices those wanted (None: all), else as others say."""
+        lengths, others = np.diff(starts), others or {}
+        counts, found = np.zeros(len(lengths), np.int64), []
+        kept = np.ones(len(lengths), bool) if wanted is None else wanted
+        for length in np.unique(lengths[kept]).tolist():
+            at = np.flatnonzero(kept & (lengths == length))
+            for some in (at[i : i + ROWS_AT_ONCE] for i in range(0, len(at), ROWS_AT_ONCE)):
+                for rows, ids in self.merges.words(data[starts[some][:, None] + np.arange(length)], ended):
+                    counts[some[rows]] = ids.shape[1]
+                    found.append((some[rows], ids))
+        rest = np.array(sorted(others), np.int64)
+        counts[rest] = [len(others[k]) for k in rest.tolist()]
+        first = np.cumsum(counts) - counts
+        ids = np.empty(int(counts.sum()), "<u4")
+        for rows, own in found:
+            ids[first[rows][:, None] + np.arange(own.shape[1])] = own
+        if len(rest):
+            ids[runs(first[rest], counts[rest])] = np.concatenate([others[k] for k in rest.tolist()])
+        return ids, counts
+
+    def distinct(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the fragments, one after another, and how many each has."""
+        lengths, (kind, _) = np.diff(starts), kinds(data)
+        least, most = np.minimum.reduceat(kind, starts[:-1]), np.maximum.reduceat(kind, starts[:-1])
+        one_word = (least == most) & (least != MARKED) & ((least != DIGIT) | (lengths == 1))
+        wanted = one_word & (lengths <= LONG)
+        others = {}
+        for k in np.flatnonzero(~wanted).tolist():
+            others[k] = data[starts[k] : starts[k + 1]].tobytes()
+        if len(long := np.flatnonzero(one_word & ~wanted)):
+            others.update(self.long_words(data, starts, long))
+        left = [k for k, x in others.items() if isinstance(x, bytes)]
+        others.update(zip(left, self.by_library([others[k] for k in left]), strict=True))
+        return self.plain(data, starts, True, wanted, others)
+
+    def encode_flat(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the rows, and where each row's start and the last one's end."""
+        special = any(data.tobytes().find(s) >= 0 for s in self.special)
+        packed, at, before = self.cut(data, starts, special)
+        if len(at) == 1:
+            return np.zeros(0, "<u4"), np.zeros(len(starts), np.int64)
+        coded = binary(packed, at).dictionary_encode()
+        which = coded.indices.to_numpy()
+        if special:
+            found = self.by_library(coded.dictionary.to_pylist())
+            ids, counts = np.concatenate(found), np.array([len(x) for x in found])
+        else:
+            ids, counts = self.distinct(*flat(coded.dictionary))
+        own = counts[which]
+        ends = np.append(0, np.cumsum(own))
+        return ids[runs((np.cumsum(counts) - counts)[which], own)], ends[before]
+
+    def gap(self, data: np.ndarray, at: int) -> int:
+        """The first place from there on where white space or a certain cut is; the end if there is none."""
+        while at < len(data):
+            some = data[at - EDGE : at + self.at_once]
+            kind, _ = kinds(some)
+            gaps = np.append(np.flatnonzero(kind == SPACE), self.certain(kind, LOWER[some]) if b"<|" not in some.tobytes() else [])
+            gaps = gaps[(gaps >= EDGE) & (gaps < len(some) - EDGE)]  # what stands at the edges may be incomplete
+            if len(gaps):
+                return at - EDGE + int(gaps.min())
+            at += max(1, len(some) - 2 * EDGE)
+        return len(data)
+
+    def slices(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, row behind the last, bytes, starts) with about `at_once` bytes each; a longer row comes in several."""
+        data, starts = flat(column)
+        row, rows = 0, len(column)
+        while row < rows:
+            stop = max(row + 1, int(np.searchsorted(starts, starts[row] + self.at_once, side="right")) - 1)
+            lo, hi = int(starts[row]), int(starts[stop])
+            while stop == row + 1 and hi - lo > self.at_once:
+                end = self.gap(data[lo:hi], self.at_once) + lo
+                if end >= hi:
+                    break
+                yield row, row, data[lo:end], np.array([0, end - lo])
+                lo = end
+            yield row, stop, data[lo:hi], np.append(lo, starts[row + 1 : stop + 1]) - lo
+            row = stop
+
+    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """For each row its ids, unsigned 32-bit."""
+        begun: list[np.ndarray] = []
+        for first, stop, data, starts in self.slices(column):
+            ids, at = self.encode_flat(data, starts)
+            if stop == first:
+                begun.append(ids)
                 continue
-            start = 0
-            for part, stop in zip(group, ends.tolist(), strict=True):
-                known[part] = ids[start:stop].tobytes()
-                start = stop
-        for part, e in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[part] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def learn(self, words: set[str]) -> dict:
-        """Makes sure that every word is known; gives what is known of words."""
-        missing = self._known(self.words, words)
-        if missing:
-            cut = [self.cut(w) for w in missing]
-            if new := self._known(self.parts, {p for c in cut for p in c}):
-                self._encode_parts(new)
-            known, parts, name = self.words[0], self.parts[0], self.name
-            for word, c in zip(missing, cut, strict=True):
-                ids = b"".join([parts[p] for p in c])
-                known[word] = (ids, " ".join([name[i] for i in memoryview(ids).cast("I")]) if self.decode else "")
-            self._age(self.parts)
-        return self.words[0]
-
-    def encode(self, texts: list[str]) -> Iterator[list[tuple[bytes, str]]]:
-        """For each text its fragments' ids, as little-endian unsigned 32-bit integers, and decoded texts (if asked for)."""
-        at = 0
-        while at < len(texts):
-            chars, stop = 0, at
-            while stop < len(texts) and (stop == at or chars + len(texts[stop]) <= CHARS_AT_ONCE):
-                chars += len(texts[stop])
-                stop += 1
-            split = [self.split(t) for t in texts[at:stop]]
-            known = self.learn(set().union(*split))
-            for words in split:
-                yield [known[w] for w in words]
-            self._age(self.words)
-            at = stop
+            for k in range(stop - first):
+                own = ids[at[k] : at[k + 1]]
+                yield np.concatenate([*begun, own]) if begun else own
+                begun = []
+
+    def decoded(self, ids: np.ndarray) -> Iterator[bytes]:
+        """The decoded text of ids in pieces."""
+        for at in range(0, len(ids), TOKENS_AT_ONCE):
+            got, _ = flat(self.names.take(pa.array(ids[at : at + TOKENS_AT_ONCE])))
+            yield got[: len(got) - (at + TOKENS_AT_ONCE >= len(ids))].tobytes()
 
 
 @lru_cache(maxsize=2)
-def fragments(path: str, decode: bool = True) -> Fragments:
-    return Fragments(path, decode)
+def fragments(path: str) -> Fragments:
+    return Fragments(path)
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -202,13 +405,12 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches):
         known = fragments(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column("__text").to_pylist()]
             ids, decoded = [], []
-            for got in known.encode(texts):
-                ids.append(b"".join([g[0] for g in got]))
-                decoded.append(" ".join([g[1] for g in got]))
+            for own in known.encode(batch.column("__text")):
+                ids.append(own.tobytes())
+                decoded.append(b"".join(known.decoded(own)))
             n = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), n, pa.array(decoded, pa.string())], ["id", "ids", "n_tokens", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), n, pa.array(decoded, pa.binary()).cast(pa.string())], ["id", "ids", "n_tokens", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(docs[id_col].alias("id"), docs[text_col].alias("__text"))
@@ -223,11 +425,13 @@ def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         known = fragments(path)
         for batch in batches:
             n, ids_sha, decoded_sha = [], [], []
-            for got in known.encode([t or "" for t in batch.column("__text").to_pylist()]):
-                ids = b"".join([g[0] for g in got])
-                n.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                decoded_sha.append(hashlib.sha256(" ".join([g[1] for g in got]).encode("utf-8", "surrogatepass")).hexdigest())
+            for ids in known.encode(batch.column("__text")):
+                n.append(len(ids))
+                ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
+                text = hashlib.sha256()
+                for piece in known.decoded(ids):
+                    text.update(piece)
+                decoded_sha.append(text.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], ["id", "n", "i", "d"])
 
     kind = docs.schema[id_col].dataType.simpleString()

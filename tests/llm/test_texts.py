@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from blockloom.llm import licenses, packing, sharding, tokens
@@ -30,12 +31,25 @@ ODD = [
 def test_fragments_give_the_same_tokens(whole):
     rng = random.Random(2)
     alphabet = [chr(c) for c in range(1, 128)] + list("éñßüøΩ中🙂́̈ İ½²") + [" "] * 30 + list("'sStTdDmMlLrRvVeE") * 3
-    texts = ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 80))) for _ in range(1500)]
-    known = tokens.Fragments(tokens.default_vocabulary(), remembered=200)
-    for text, got in zip(texts, known.encode(texts), strict=True):
-        want = whole.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(b"".join(g[0] for g in got), "<u4").tolist() == want, text
-        assert " ".join(g[1] for g in got) == whole.decode(want, skip_special_tokens=False), text
+    alphabet += list("ÀÉÖßÿ×÷ÅAÞ东京都の。、ガ゙！，") + ["\u0301", "\u0338", "\u030a"]
+    texts = ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 80))) for _ in range(3000)]
+    for at_once in (50, 4_000_000):
+        known = tokens.Fragments(tokens.default_vocabulary(), remembered=200, at_once=at_once)
+        for text, got in zip(texts, known.encode(pa.array(texts)), strict=True):
+            want = whole.encode(text, add_special_tokens=False).ids
+            assert got.tolist() == want, text
+            assert b"".join(known.decoded(got)).decode() == whole.decode(want, skip_special_tokens=False), text
+
+
+def test_long_texts_without_spaces(whole):
+    rng = random.Random(5)
+    wide = "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(20_000))
+    texts = [wide, "。".join(wide[i : i + 25] for i in range(0, len(wide), 25)), "".join(rng.choice("abcdefgh") for _ in range(50_000)), "Straße" * 5_000, "のガ" * 3_000]
+    known = tokens.Fragments(tokens.default_vocabulary(), at_once=1_000)
+    for text, got in zip(texts, known.encode(pa.array(texts)), strict=True):
+        assert got.tolist() == whole.encode(text, add_special_tokens=False).ids
+    known = tokens.Fragments(tokens.default_vocabulary())
+    assert sum(len(x) for x in known.encode(pa.array([wide * 80]))) > 1_000_000  # 4.8 MB
 
 
 def test_encode_documents(spark, whole):
