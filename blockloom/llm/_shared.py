@@ -36,7 +36,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes tables that `written` gave, once all that was read from them is written itself."""
+    for t in tables:
+        if t is not None:
+            jvm = t.sparkSession.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(t.folder)
+            path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:

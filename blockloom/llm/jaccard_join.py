@@ -1,221 +1,307 @@
 """N-gram Jaccard join by prefix trees.
 
-A document's set: its distinct word n-grams, as 64-bit hashes; with fewer words, the whole sequence as one. Two documents link when
+A document's set: its distinct word n-grams, as 64-bit keys; with fewer words, the whole sequence as one. Two documents link when
 their sets' Jaccard similarity reaches the threshold. Documents with equal sets are one from here on.
 
-All sets stand in one global order, the rarest n-grams first: by the frequencies of their words, equal ones by hash, and behind
-all others the n-grams found to be common (bounded lists of words and n-grams, counted over all documents). Any total order gives
-right results; this one makes chance meetings of long documents rare. Two sets that link share one of their first n - ceil(t n) + 1 n-grams (their prefixes). Each n-gram that at least
-two prefixes share makes a group; groups with the same members are one. A group's sets go into a trie in the
-global order, and each set traverses the trie once: documents that share a beginning share the overlap counted
-there, and a subtree is left where even all that remains of both sides can't reach the needed overlap. Sets that are already
-connected aren't compared again.
-
-Groups of any size are cut into runs of at most `RUN` sets by size; tasks get pairs of runs whose sizes can link, so no group
-meets in one task. A first round gives each document to one of its groups only; what it connects makes most other
-groups needless, and the second round takes every group that still holds two components. The links found
-span the components; these come from repeated joins, never on the driver.
+A key is a class of frequency before a hash of the n-gram, so its value is its place in the global order: n-grams of rare words first,
+those of frequent words later, those that are common themselves last. The classes come from counts over all documents, held in
+tables of fixed size by hash, where rare words may share a place; any total order gives right results, this one makes chance meetings of long
+documents rare. Two sets that link share one of their first n - ceil(t n) + 1 n-grams (their prefixes). Prefixes are dealt by
+n-gram into buckets of bounded size, in blocks of 16 bytes an n-gram; each n-gram that at least two prefixes share makes a group, and groups
+with the same members are one. A group's sets go into a trie in the global order, and each set traverses the trie once: documents
+that share a beginning share the overlap counted there, and a subtree is left where even all that remains of both
+sides can't reach the needed overlap. Sets that are already connected aren't compared again.
+
+Groups of more than `RUN` sets: a first round gives each document to one of them only, and what it connects makes most of them
+needless. In those that still hold two components, sets that are far from the main component are many or few. Where they are
+many, the group is replaced by groups for pairs of n-grams: sets that link share two of their first n - ceil(t n) + 2, too. Else
+sets meet in windows of sizes that can link, runs of the others meeting each run of the main component, whose own runs never
+meet. So no group meets in one task. N-grams that a great share of all sets have in their prefixes are found by counts first and
+treated as such groups without passing through a bucket.
+
+Before texts are sent, bucket counts of the sets rule out pairs that can't reach the threshold; texts are sent for the others only, picked
+by a bitmap of their ids of at most `BITMAP` bits. The plan is the same at every size: the bitmap only lets more pass when it is full.
+The links found span the components; these come from repeated joins, never on the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import log
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.functions import pandas_udf
 
-from ._shared import documents, written
+from ._bytes import flat, mixed, row_groups, runs, word_hashes
+from ._shared import documents, dropped, written
 
-COMMON = 1 << 16
-COMMON_FROM = 4
-WORDS = 1 << 17
-WORDS_FROM = 8
+#: Places of the tables of frequencies, a byte each, as powers of two.
+WORD_BITS, GRAM_BITS = 20, 22
+WORDS_FROM, COMMON_FROM = 8, 4
 DOCS_AT_ONCE = 2_000
-CHARS_AT_ONCE = 4_000_000
-REMEMBERED = 400_000
+#: Places of common n-grams that are told apart, at most; the rarest beyond that count as not common.
+COMMON = 1 << 18
 RUN = 400
-#: Tables of ids or n-grams of at most so many rows, 24 bytes each, go to every task; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: From so many runs of sets outside the main component on, a group is split by pairs of n-grams.
+MANY = 4
+TOKENS_A_BUCKET = 500_000
+#: N-grams in more than one of so many prefixes don't pass through a bucket.
+HOT = 1_000
+HOT_FROM = 100_000
+BITMAP = 1 << 27
 
-LOWERED = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
 def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def needed(a: int, b: int, num: int, den: int) -> int:
+def needed(a, b, num: int, den: int):
     """The least overlap with which sets of these sizes link: den * o >= num * (a + b - o)."""
     return -(-num * (a + b) // (num + den))
 
 
-class Grams:
-    """Sets of n-gram hashes with their frequency scores; remembers words, at most `remembered`."""
-
-    def __init__(self, size: int, words: np.ndarray | None = None, counts: np.ndarray | None = None, remembered: int = REMEMBERED):
-        """words: hashes of frequent words, ascending, and their counts; all other words count as rarer than these."""
-        self.size, self.remembered = size, remembered
-        self.words = np.zeros(0, np.uint64) if words is None else words
-        self.scores = np.zeros(0, np.int64) if counts is None else (16 * np.log2(counts + 1.0)).astype(np.int64)
-        self.at: dict[bytes, int] = {}
-        self.hash, self.score = np.zeros(2 * remembered, np.uint64), np.zeros(2 * remembered, np.int64)
-
-    def learn(self, new: list[bytes]) -> None:
-        first = len(self.at)
-        stop = first + len(new)
-        if stop > len(self.hash):
-            self.hash = np.append(self.hash, np.zeros(stop, np.uint64))
-            self.score = np.append(self.score, np.zeros(stop, np.int64))
-        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in new], np.uint64)
-        self.hash[first:stop] = hashes
-        self.score[first:stop] = 0
-        if len(self.words):
-            place = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            self.score[first:stop] = np.where(self.words[place] == hashes, self.scores[place], 0)
-        self.at.update(zip(new, range(first, stop), strict=True))
-
-    def places(self, text: bytes | None) -> np.ndarray:
-        words = (text or b"").translate(LOWERED).split()
-        if len(self.at) > self.remembered:
-            self.at.clear()
-        if new := list(set(words).difference(self.at)):
-            self.learn(new)
-        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-
-    def of(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct n-grams of a text, ascending, and their scores: the higher, the more frequent their words."""
-        return self.of_places(self.places(text))
-
-    def of_places(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(at):
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        hashes, scores = self.hash[at], self.score[at]
-        k = min(self.size, len(at))
-        n = len(at) - k + 1
-        total, rank = np.full(n, k, np.uint64), np.zeros(n, np.int64)
-        for i in range(k):
-            total = mixed(total + hashes[i : i + n]) * FACTORS[i % len(FACTORS)]
-            rank += scores[i : i + n]
-        found, first = np.unique(total, return_index=True)
-        return found, rank[first]
+class Order:
+    """The global order: classes of frequency by hash, for words and for n-grams."""
 
+    def __init__(self, size: int, words: np.ndarray, grams: np.ndarray):
+        self.size, self.words, self.grams = size, words, grams
+
+
+def no_order(size: int) -> Order:
+    return Order(size, np.zeros(1 << WORD_BITS, np.uint8), np.zeros(1 << GRAM_BITS, np.uint8))
+
+
+def word_place(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
 
-class Order:
-    """The global order, and the words and n-grams it knows."""
 
-    def __init__(self, size: int, common: np.ndarray, words: np.ndarray, counts: np.ndarray):
-        """common: the most common n-grams, the rarest of them first; words, ascending, with their counts."""
-        self.size, self.words, self.counts = size, words, counts
-        self.rank = np.argsort(common)
-        self.sorted = common[self.rank]
+def hashed_grams(words: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each run of `size` words."""
+    n = len(words) - size + 1
+    total = np.full(max(n, 0), size, np.uint64)
+    for i in range(size if n > 0 else 0):
+        total = mixed(total + words[i : i + n]) * FACTORS[i % len(FACTORS)]
+    return mixed(total)
 
-    def sort(self, found: np.ndarray, scores: np.ndarray) -> np.ndarray:
-        """Where each of found, ascending, stands: an order of their indices."""
-        late = np.zeros(len(found), np.int64)
-        if len(self.sorted) and len(found):
-            at = np.minimum(np.searchsorted(self.sorted, found), len(self.sorted) - 1)
-            late = np.where(self.sorted[at] == found, self.rank[at] + 1, 0)
-        return np.lexsort((found, np.where(late > 0, 0, scores), late))
 
+def gram_rows(data: np.ndarray, starts: np.ndarray, order: Order) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each row the keys of its n-grams in their places, repeats included, and its words' hashes."""
+    words, before = word_hashes(data, starts)
+    size = order.size
+    hashes, scores = hashed_grams(words, size), np.concatenate([[0], np.cumsum(order.words[word_place(words)], dtype=np.int64)])
+    keys = keyed(hashes, scores[size:] - scores[:-size] if len(hashes) else np.zeros(0, np.int64), order)
+    for lo, hi in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
+        own = words[lo:hi]
+        if 0 < hi - lo < size:
+            yield keyed(hashed_grams(own, hi - lo), scores[hi : hi + 1] - scores[lo : lo + 1], order), own
+        else:
+            yield keys[lo : max(lo, hi - size + 1)], own
 
-_grams: dict[int, tuple[object, Grams]] = {}
 
+def keyed(hashes: np.ndarray, scores: np.ndarray, order: Order) -> np.ndarray:
+    """Keys: ten bits of class and 54 of hash."""
+    hashes = hashes >> np.uint64(10)
+    common = order.grams[gram_place(hashes)].astype(np.int64)
+    kind = np.where(common > 0, 512 + common, np.minimum(scores, 511))
+    return kind.astype(np.uint64) << np.uint64(54) | hashes
 
-def grams_for(shared) -> Grams:
-    """The worker's Grams for a broadcast order, kept from task to task."""
-    order = shared.value
-    held = _grams.get(order.size)
-    if held is None or held[0] is not order:
-        held = _grams[order.size] = (order, Grams(order.size, order.words, order.counts))
-    return held[1]
 
+def gram_place(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(54 - GRAM_BITS)).astype(np.int64) & (1 << GRAM_BITS) - 1
 
-def raw(batch: pa.RecordBatch, column: str = "__text") -> list[bytes | None]:
-    return batch.column(column).cast(pa.binary()).to_pylist()
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
+def sets_of(column: pa.Array, order: Order) -> Iterator[np.ndarray]:
+    """The set of each row, ascending."""
+    data, starts = flat(column)
+    for first, stop in row_groups(starts):
+        for keys, _ in gram_rows(data[starts[first] : starts[stop]], starts[first : stop + 1] - starts[first], order):
+            yield distinct(keys)
+
+
+def identity(own: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets apart, as signed integers."""
+    return tuple(int(mixed(own + f).sum().astype(np.int64)) for f in (FACTORS[0], FACTORS[1]))
 
 
 def corpus_order(docs: DataFrame, text_col: str, size: int) -> Order:
     """Counts words and n-grams over all documents: those that several of the documents a task holds at a time share."""
 
     def run(batches):
-        known, held, words, chars = Grams(size), [], [], 0
+        blank, held, words, docs_held = no_order(size), [], [], 0
 
         def rows():
-            for kind, keys, least in (("gram", held, COMMON_FROM), ("word", words, WORDS_FROM)):
-                found, n = np.unique(np.concatenate(keys), return_counts=True)
-                often = n >= least
-                k = int(often.sum())
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * k, pa.string()), pa.array(found[often].view(np.int64)), pa.array(n[often], pa.int64())], ["kind", "key", "n"])
+            for kind, places, least in (("gram", gram_place(np.concatenate(held)), COMMON_FROM), ("word", word_place(np.concatenate(words)), WORDS_FROM)):
+                n = np.bincount(places)
+                at = np.flatnonzero(n >= least)
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["kind", "at", "n"])
 
         for batch in batches:
-            for text in raw(batch):
-                at = known.places(text)
-                held.append(known.of_places(at)[0])
-                words.append(known.hash[at])
-                chars += len(text or b"")
-                if len(held) == DOCS_AT_ONCE or chars > 2 * CHARS_AT_ONCE:
+            data, starts = flat(batch.column("__text"))
+            for first, stop in row_groups(starts):
+                for keys, own in gram_rows(data[starts[first] : starts[stop]], starts[first : stop + 1] - starts[first], blank):
+                    held.append(distinct(keys))
+                    words.append(own)
+                docs_held += stop - first
+                if docs_held >= DOCS_AT_ONCE:
                     yield from rows()
-                    held, words, chars = [], [], 0
+                    held, words, docs_held = [], [], 0
         if held:
             yield from rows()
 
-    counts = docs.select(F.col(text_col).alias("__text")).mapInArrow(run, "kind string, key bigint, n bigint")
-    counts = written(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "jaccard-counts")
-    top = lambda kind, most: counts.where(F.col("kind") == kind).orderBy(F.desc("n"), "key").limit(most).toArrow()
-    common, words = top("gram", COMMON), top("word", WORDS)
-    keys = np.asarray(words["key"].to_numpy()).view(np.uint64)
-    order = np.argsort(keys)
-    return Order(size, np.asarray(common["key"].to_numpy())[::-1].view(np.uint64).copy(), keys[order], np.asarray(words["n"].to_numpy())[order])
+    counts = docs.select(F.col(text_col).alias("__text")).mapInArrow(run, "kind string, at int, n bigint")
+    counts = written(counts.groupBy("kind", "at").agg(F.sum("n").alias("n")), "jaccard-counts")
+    level = F.floor(8 * F.log2("n")).cast("int")
+    heights = {r["level"]: r["held"] for r in counts.where("kind = 'gram'").groupBy(level.alias("level")).agg(F.count("*").alias("held")).collect()}
+    least, room = 0, COMMON
+    for h in sorted(heights, reverse=True):
+        room -= heights[h]
+        if room < 0:
+            least = h + 1
+            break
+    tables = {}
+    for kind, bits, wanted, top in (("word", WORD_BITS, F.lit(True), 102), ("gram", GRAM_BITS, level >= least, 255)):
+        got = counts.where((F.col("kind") == kind) & wanted).select("at", "n").toArrow()
+        n = np.asarray(got["n"].to_numpy(), np.float64)
+        tables[kind] = np.zeros(1 << bits, np.uint8)
+        tables[kind][got["at"].to_numpy()] = np.minimum(4 * np.log2(n + 1), top).astype(np.uint8)
+    dropped(counts)
+    return Order(size, tables["word"], tables["gram"])
 
 
 def bucket_counts(own: np.ndarray) -> np.ndarray:
-    """How many n-grams of a set fall into each of about n / 4 equal ranges of hashes, a power of two."""
+    """How many n-grams of a set have each value of their last bits; about n / 4 values, a power of two."""
     bits = max(3, (len(own) // 4).bit_length())
-    return np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16 if len(own) < 65536 else np.uint32)
+    n = np.bincount((own & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+    return n.astype(np.uint8 if n.max() < 256 else np.uint32)
+
+
+def counts_of(held: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(held, np.uint8 if len(held) == 1 << max(3, (n // 4).bit_length()) else np.uint32)
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, order) -> DataFrame:
-    """id, n, h1, h2, prefix, counts: size of the set, 128 bits that tell sets apart, the prefix, and the bucket counts."""
+    """id, n, h1, h2, prefix, counts: size of the set, 128 bits that tell sets apart, the prefix and one n-gram more, the bucket counts."""
 
     def run(batches):
-        known = grams_for(order)
         for batch in batches:
-            n, h1, h2, prefix, counts = [], [], [], [], []
-            for text in raw(batch):
-                own, scores = known.of(text)
-                n.append(len(own))
-                h1.append(int(mixed(own).sum()) - (1 << 63))
-                h2.append(int(mixed(own + FACTORS[0]).sum()) - (1 << 63))
-                first = order.value.sort(own, scores)[: prefix_length(len(own), num, den) if len(own) else 0]
-                prefix.append(own[first].view(np.int64))
-                counts.append(bucket_counts(own).tobytes())
-            columns = [*(pa.array(x, pa.int64()) for x in (n, h1, h2)), pa.array(prefix, pa.list_(pa.int64())), pa.array(counts, pa.binary())]
+            rows = []
+            for own in sets_of(batch.column("__text"), order.value):
+                first = own[: prefix_length(len(own), num, den) + 1 if len(own) else 0]
+                rows.append((len(own), *identity(own), first.tobytes(), bucket_counts(own).tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "n", "h1", "h2", "prefix", "counts"])
 
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text"))
-    return read.mapInArrow(run, "id bigint, n bigint, h1 bigint, h2 bigint, prefix array<bigint>, counts binary")
+    return read.mapInArrow(run, "id bigint, n bigint, h1 bigint, h2 bigint, prefix binary, counts binary")
 
 
-def prefix_groups(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(gram, anchor, size) of all groups with two members or more, one for each set of members; and (gram, size, rep) of these."""
-    tokens = reps.select(F.explode("prefix").alias("gram"), "rep")
-    groups = tokens.groupBy("gram").agg(
-        F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("mark"), F.min("rep").alias("anchor")
-    )
-    groups = groups.where("size >= 2").groupBy("size", "mark", "anchor").agg(F.min("gram").alias("gram"))
-    groups = written(groups.select("gram", "size"), "jaccard-groups")
-    few = groups.count() <= BROADCAST_ROWS
-    members = tokens.join(F.broadcast(groups) if few else groups, "gram")
-    return groups, written(members.select("gram", "size", "rep"), "jaccard-members")
+def prefix_groups(tokens: DataFrame, sets: int) -> DataFrame:
+    """gram, size, members: the groups with two members or more, one for each set of members; large ones in several rows.
+
+    tokens: rep, grams (binary, 64-bit). sets: how many reps there are. A group's members come in arrays of at most RUN.
+    """
+    tokens = written(tokens, "jaccard-tokens")
+    total = tokens.agg(F.coalesce(F.sum(F.octet_length("grams")), F.lit(0)).alias("n")).first()["n"] // 8
+    buckets = max(64, -(-total // TOKENS_A_BUCKET))
+    spark = tokens.sparkSession
+    most = max(HOT_FROM, sets // HOT)
+
+    def often(batches):
+        for batch in batches:
+            data, _ = flat(batch.column("grams"))
+            grams, n = np.unique(data.view(np.uint64), return_counts=True)
+            some = n > batch.num_rows // (2 * HOT) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(grams[some].view(np.int64)), pa.array(n[some], pa.int64())], ["gram", "n"])
+
+    hot = np.zeros(0, np.uint64)
+    if sets > most:  # no more grams than prefix length * HOT can be so frequent
+        found = tokens.select("grams").mapInArrow(often, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+        hot = np.sort(found.where(F.col("n") > most).select("gram").toArrow()["gram"].to_numpy().view(np.uint64))
+    held = spark.sparkContext.broadcast(hot)
+
+    def dealt(batches):
+        for batch in batches:
+            data, starts = flat(batch.column("grams"))
+            grams, reps = data.view(np.uint64), np.repeat(batch.column("rep").to_numpy(zero_copy_only=False), np.diff(starts) // 8)
+            if len(held.value):
+                own = held.value[np.minimum(np.searchsorted(held.value, grams), len(held.value) - 1)] == grams
+                grams, reps = grams[~own], reps[~own]
+            bucket = (mixed(grams) % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            grams, reps = grams[by], reps[by]
+            ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+            rows = [(k, grams[a:b].tobytes(), reps[a:b].tobytes()) for k, (a, b) in enumerate(zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)) if b > a]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "grams", "reps"])
+
+    def grouped(batches):
+        for table in by_unit(batches, "bucket"):
+            grams, reps = (flat(table.column(c).combine_chunks())[0].view(np.uint64) for c in ("grams", "reps"))
+            by = np.lexsort((reps, grams))
+            grams, reps = grams[by], reps[by].view(np.int64)
+            first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+            size = np.diff(np.append(first, len(grams)))
+            mark = np.add.reduceat(mixed(mixed(reps.view(np.uint64))), first)
+            some = np.flatnonzero(size >= 2)
+            parts = -(-size[some] // RUN)
+            which = np.repeat(some, parts)
+            start = first[which] + runs(np.zeros(len(parts), np.int64), parts) * RUN
+            length = np.minimum(RUN, first[which] + size[which] - start)
+            members = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(reps[runs(start, length)]))
+            columns = [pa.array(x) for x in (grams[first[which]].view(np.int64), size[which], mark[which].view(np.int64), reps[first[which]])]
+            yield pa.RecordBatch.from_arrays([*columns, members], ["gram", "size", "mark", "anchor", "members"])
+
+    deal = tokens.mapInArrow(dealt, "bucket bigint, grams binary, reps binary").repartition("bucket").sortWithinPartitions("bucket")
+    found = written(deal.mapInArrow(grouped, "gram bigint, size bigint, mark bigint, anchor bigint, members array<bigint>"), "jaccard-grouped")
+    one = found.groupBy("size", "mark", "anchor").agg(F.min("gram").alias("gram")).select("gram")
+    members = found.join(one, "gram", "left_semi").select("gram", "size", F.explode("members").alias("rep"))
+    if len(hot):
+        wanted = held.value.view(np.int64)
+
+        def picked(batches):
+            for batch in batches:
+                data, starts = flat(batch.column("grams"))
+                grams, reps = data.view(np.int64), np.repeat(batch.column("rep").to_numpy(zero_copy_only=False), np.diff(starts) // 8)
+                own = np.isin(grams, wanted)
+                yield pa.RecordBatch.from_arrays([pa.array(grams[own]), pa.array(np.full(int(own.sum()), most + 1)), pa.array(reps[own], pa.int64())], ["gram", "size", "rep"])
+
+        members = members.union(tokens.mapInArrow(picked, "gram bigint, size bigint, rep bigint"))
+    members = written(members, "jaccard-members")
+    dropped(tokens, found)
+    return members
+
+
+def by_unit(batches, column: str) -> Iterator[pa.Table]:
+    """The rows of each unit, of batches in which units follow one another."""
+    left = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if left is not None:
+            table = pa.concat_tables([left, table])
+        if not table.num_rows:
+            continue
+        units = table.column(column).combine_chunks().to_numpy(zero_copy_only=False)
+        ends = np.flatnonzero(units[1:] != units[:-1]) + 1
+        start = 0
+        for end in ends.tolist():
+            yield table.slice(start, end - start)
+            start = end
+        left = table.slice(start)
+    if left is not None and left.num_rows:
+        yield left
 
 
 class Trie:
@@ -297,12 +383,11 @@ class Union:
             self.parts -= 1
 
 
-def links_of(found: list[tuple[np.ndarray, np.ndarray]], ids: list[int], components: list[int], order: Order, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect all sets that links connect, but for those of one component already."""
-    vocabulary, first = np.unique(np.concatenate([s for s, _ in found]), return_index=True)
-    place = np.empty(len(vocabulary), np.int64)
-    place[order.sort(vocabulary, np.concatenate([r for _, r in found])[first])] = np.arange(len(vocabulary))
-    ranked = [np.sort(place[np.searchsorted(vocabulary, s)]) for s, _ in found]
+def links_of(found: list[np.ndarray], ids: list[int], components: list[int], num: int, den: int) -> list[tuple[int, int]]:
+    """Links that connect all sets that links connect, but for those of one component already. found: sets, ascending."""
+    vocabulary, ranks = np.unique(np.concatenate(found), return_inverse=True)
+    ends = np.cumsum([len(s) for s in found])
+    ranked = np.split(ranks, ends[:-1])
     at = sorted(range(len(ranked)), key=lambda i: ranked[i].astype(">u4").tobytes())
     sets = [ranked[i] for i in at]
     trie, union = Trie(sets), Union([components[i] for i in at])
@@ -319,27 +404,44 @@ def links_of(found: list[tuple[np.ndarray, np.ndarray]], ids: list[int], compone
 
 
 def search_units(units: DataFrame, docs: DataFrame, id_col: str, text_col: str, num: int, den: int, order) -> DataFrame:
-    """a, b: links within units. units: unit (string), rep, component."""
+    """a, b: links within units. units: unit, rep, h1, component. Of rows that share an id, those whose set is the unit's are meant."""
 
-    def run(table: pa.Table) -> pa.Table:
-        ids, known = table.column("rep").to_pylist(), grams_for(order)
-        found = [known.of(t) for t in table.column("__text").cast(pa.binary()).to_pylist()]
-        got = links_of(found, ids, table.column("component").to_pylist(), order.value, num, den)
-        return pa.table([pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())], names=["a", "b"])
+    def run(batches):
+        for table in by_unit(batches, "unit"):
+            found: dict[tuple, tuple] = {}
+            rows = zip(table.column("rep").to_pylist(), table.column("h1").to_pylist(), table.column("component").to_pylist(), sets_of(table.column("__text").combine_chunks(), order.value), strict=True)
+            for rep, h1, component, own in rows:
+                if identity(own)[0] == h1:
+                    found[rep, h1] = (own, component)
+            if len(found) > 1:
+                got = links_of([own for own, _ in found.values()], [rep for rep, _ in found], [c for _, c in found.values()], num, den)
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())], ["a", "b"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("__text"))
-    wanted = units.select("rep").distinct()
-    few = small(wanted)
-    if few is not None:
-        texts = texts.join(F.broadcast(few), "rep", "left_semi")
-    joined = units.join(texts, "rep").select("unit", "rep", "component", "__text")
-    return joined.groupBy("unit").applyInArrow(run, "a bigint, b bigint")
+    texts = texts.where(in_bitmap(units.select("rep").distinct(), "rep"))
+    joined = units.join(texts, "rep").select("unit", "rep", "h1", "component", "__text")
+    return joined.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a bigint, b bigint")
 
 
-def small(ids: DataFrame) -> DataFrame | None:
-    """ids, written, if they are few enough to be sent to every task; else None and a shuffled join does the same."""
+def in_bitmap(ids: DataFrame, column: str):
+    """A condition that holds for all of ids and few others: a bit for each hash, 16 times as many bits as ids, BITMAP at most."""
+    spark = ids.sparkSession
     ids = written(ids, "jaccard-ids")
-    return ids if ids.count() <= BROADCAST_ROWS else None
+    size = min(BITMAP, 1 << max(16, (16 * ids.count()).bit_length()))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
+    word = F.shiftright(slot(column), 5).cast("int")
+    bits = ids.groupBy(word.alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64({column}), {size}L) & 31 AS int))")).alias("bits")).toArrow()
+    table = np.zeros(size >> 5, np.uint32)
+    table[bits["word"].to_numpy()] = bits["bits"].to_numpy().astype(np.uint32)
+    held = spark.sparkContext.broadcast(table)
+    dropped(ids)
+
+    @pandas_udf("boolean")
+    def known(slots: pd.Series) -> pd.Series:
+        at = slots.to_numpy()
+        return pd.Series((held.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool))
+
+    return known(slot(column))
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -351,51 +453,118 @@ def connected(links: DataFrame) -> DataFrame:
         lower = labels.join(near, "v").select("v", "component", F.least("component", "its").alias("low"))
         above = labels.toDF("low", "top")
         step = written(lower.join(above, "low").select("v", "component", F.least("low", "top").alias("new")), "labels")
+        dropped(labels)
+        done = step.where("new <> component").isEmpty()
         labels = step.select("v", F.col("new").alias("component"))
-        if step.where("new <> component").isEmpty():
+        labels.folder = step.folder
+        if done:
+            dropped(edges)
             return labels
 
 
-def screen(members: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """The members (gram, size, rep, component) for whom some fellow of another component may link by size and bucket counts.
+def screen(members: DataFrame, num: int, den: int) -> DataFrame:
+    """The members (gram, size, rep, h1, component, n) for whom some fellow of another component may link by size and bucket counts.
 
-    Sets can't share more than the smaller count in each bucket; the sum of these bounds the overlap.
+    Sets can't share more than the smaller count in each bucket; the sum of these bounds the overlap. members: these and counts.
     """
 
-    def run(table: pa.Table) -> pa.Table:
-        n = np.asarray(table.column("n").to_numpy())
-        component = np.asarray(table.column("component").to_numpy())
-        by_size = np.argsort(n, kind="stable")
-        counts = [np.frombuffer(c, np.uint16 if k < 65536 else np.uint32) for c, k in zip(table.column("counts").to_pylist(), n.tolist(), strict=True)]
-        stays = np.zeros(len(n), bool)
-        for i, x in enumerate(by_size):
-            for y in by_size[i + 1 :]:
-                if den * n[x] < num * n[y]:
-                    break
-                if component[x] == component[y] or stays[x] and stays[y]:
-                    continue
-                a, b = counts[x], counts[y]
-                if len(a) < len(b):
-                    b = b.reshape(len(a), -1).sum(1)
-                elif len(b) < len(a):
-                    a = a.reshape(len(b), -1).sum(1)
-                if int(np.minimum(a, b).sum()) >= needed(int(n[x]), int(n[y]), num, den):
-                    stays[x] = stays[y] = True
-        return table.filter(pa.array(stays)).select(["gram", "size", "rep", "component"])
-
-    joined = in_units(members).join(reps.select("rep", "n", "counts"), "rep").select("unit", "gram", "size", "rep", "component", "n", "counts")
-    kept = joined.groupBy("unit").applyInArrow(run, "gram bigint, size bigint, rep bigint, component bigint")
+    def run(batches):
+        for table in by_unit(batches, "unit"):
+            stays = may_link(table, num, den)
+            if stays.any():
+                yield from table.filter(pa.array(stays)).select(["gram", "size", "rep", "h1", "component", "n"]).combine_chunks().to_batches()
+
+    joined = in_units(members, num, den).select("unit", "gram", "size", "rep", "h1", "component", "n", "counts")
+    kept = joined.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "gram bigint, size bigint, rep bigint, h1 bigint, component bigint, n bigint")
     return kept.distinct()
 
 
-def in_units(members: DataFrame) -> DataFrame:
-    """members with their units: a group, or each pair of runs of a group that is too large for one task."""
-    runs = F.ceil(F.col("size") / RUN).cast("int")
-    own = F.pmod(F.xxhash64("rep"), runs)
-    other = F.explode(F.sequence(F.lit(0), runs - 1)).alias("other")
-    split = members.withColumn("own", own).select("*", other)
-    unit = F.concat_ws(":", "gram", F.least("own", "other"), F.greatest("own", "other"))
-    return split.withColumn("unit", unit).drop("own", "other")
+def may_link(table: pa.Table, num: int, den: int) -> np.ndarray:
+    n, component = (np.asarray(table.column(c).to_numpy()) for c in ("n", "component"))
+    stays = np.zeros(len(n), bool)
+    if len(n) < 2 or (component == component[0]).all():
+        return stays
+    by = np.argsort(n, kind="stable")
+    n, component = n[by], component[by]
+    held = table.column("counts").to_pylist()
+    counts = [counts_of(held[i], k) for i, k in zip(by.tolist(), n.tolist(), strict=True)]
+    widths = np.array([len(c) for c in counts])
+    reach = np.searchsorted(n * num, n * den, side="right")  # behind the last that x may link with by size
+    folded: dict[int, tuple[int, np.ndarray]] = {}
+    ok = np.zeros(len(n), bool)
+    for x in range(len(n) - 1):
+        stop = int(reach[x])
+        if stop <= x + 1:
+            continue
+        width = int(widths[x])
+        if width not in folded:
+            last = int(reach[np.flatnonzero(widths == width)[-1]])
+            folded[width] = x, np.stack([c.reshape(-1, width).sum(0, dtype=np.int32) for c in counts[x:last]])
+        base, matrix = folded[width]
+        some = np.arange(x + 1, stop)
+        some = some[(component[some] != component[x]) & ~(ok[some] & ok[x])]
+        if len(some):
+            most = np.minimum(matrix[some - base], matrix[x - base]).sum(1)
+            near = some[most >= needed(n[x], n[some], num, den)]
+            ok[near] = True
+            ok[x] |= len(near) > 0
+    stays[by] = ok
+    return stays
+
+
+def in_units(members: DataFrame, num: int, den: int) -> DataFrame:
+    """members with their units: a group, or what a group of more than RUN sets is split into.
+
+    members: gram, size, rep, component, n and others.
+    """
+    few = members.where(F.col("size") <= RUN).withColumn("unit", F.xxhash64("gram"))
+    of = F.floor(F.log("n") / F.lit(1.0001 * log(den / num))).cast("int")
+    window = F.explode(F.array(of, of + 1)).alias("window")
+    many = members.where(F.col("size") > RUN).select("*", window).withColumn("key", F.xxhash64("gram", "window"))
+    held = many.groupBy("key", "component").agg(F.count("*").alias("held"))
+    held = held.groupBy("key").agg(F.max_by("component", F.struct("held", "component")).alias("main"), F.max("held").alias("mains"), F.sum("held").alias("all"))
+    held = held.where("all > mains").select("key", "main", F.ceil(F.col("mains") / RUN).alias("j"), F.ceil((F.col("all") - F.col("mains")) / RUN).alias("k"))
+    many = many.join(held, "key").withColumn("in_main", F.col("component") == F.col("main"))
+    many = many.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("in_main"), F.col("j")).otherwise(F.col("k"))))
+    turn = lambda c: F.sequence(F.lit(0), c - 1)
+    with_main = lambda a, b: F.xxhash64("key", F.lit(1), a, b)
+    with_rest = lambda o: F.xxhash64("key", F.lit(2), F.least("own", o), F.greatest("own", o))
+    units = F.when(F.col("in_main"), F.transform(turn(F.col("k")), lambda o: with_main(F.col("own"), o))).otherwise(
+        F.concat(F.transform(turn(F.col("j")), lambda o: with_main(o, F.col("own"))), F.transform(turn(F.col("k")), with_rest))
+    )
+    many = many.select(*members.columns, F.explode(units).alias("unit"))
+    return few.select(*members.columns, "unit").unionByName(many)
+
+
+def split_by_pairs(members: DataFrame, reps: DataFrame, sets: int, num: int, den: int) -> DataFrame:
+    """members (gram, size, rep, component), the groups with many sets outside their main component replaced by those of pairs of n-grams."""
+    large = members.where(F.col("size") > RUN)
+    held = large.groupBy("gram", "component").agg(F.count("*").alias("held")).groupBy("gram").agg((F.sum("held") - F.max("held")).alias("rest"))
+    wide = written(held.where(F.col("rest") > MANY * RUN).select("gram"), "jaccard-wide")
+    if wide.isEmpty():
+        return members
+    least = den // num + 1  # smaller sets may link with an overlap of one
+
+    def pairs(batches):
+        for batch in batches:
+            data, starts = flat(batch.column("prefix"))
+            out = []
+            for k, (grams, n) in enumerate(zip(batch.column("grams").to_pylist(), batch.column("n").to_pylist(), strict=True)):
+                prefix = data[starts[k] : starts[k + 1]].view(np.uint64)
+                # The n-gram beyond the usual prefix can only be a pair's second.
+                wanted = np.isin(prefix[: prefix_length(n, num, den)], np.array(grams, np.int64).view(np.uint64))
+                keys = [mixed(np.delete(prefix, i) * FACTORS[1] + prefix[i]) for i in np.flatnonzero(wanted).tolist()]
+                out.append(np.concatenate(keys).tobytes() if keys else b"")
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(out, pa.binary())], ["rep", "grams"])
+
+    chosen = large.join(wide, "gram", "left_semi").join(reps.select("rep", "n", "prefix"), "rep").where(F.col("n") >= least)
+    mine = chosen.groupBy("rep").agg(F.first("prefix").alias("prefix"), F.first("n").alias("n"), F.collect_list("gram").alias("grams"))
+    tokens = mine.select("rep", "prefix", "n", "grams").mapInArrow(pairs, "rep bigint, grams binary")
+    labels = members.select("rep", "component").distinct()
+    finer = prefix_groups(tokens, sets).join(labels, "rep").select("gram", "size", "rep", "component")
+    tiny = large.join(wide, "gram", "left_semi").join(reps.where(F.col("n") <= 2 * least).select("rep"), "rep", "left_semi")
+    rest = members.join(wide, "gram", "left_anti")
+    return written(rest.unionByName(finer).unionByName(tiny.select(*rest.columns)), "jaccard-split")
 
 
 def jaccard_components(
@@ -406,7 +575,8 @@ def jaccard_components(
     Words are runs of anything but white space (ASCII) after lower-casing A-Z. Null and empty texts have no n-grams, link
     with nothing and are their own components. Two documents link when den * intersection >= num * union. Equal sets
     link. Ids are integers; null ids get a null component unless their set has another document. Rows that repeat get
-    equal rows. Other columns, whatever their names, are ignored.
+    equal rows. Rows that share an id but not the text are one document with the links of all its texts. Other columns, whatever
+    their names, are ignored.
     """
     sc = docs.sparkSession.sparkContext
     order = sc.broadcast(corpus_order(docs, text_col, size))
@@ -414,37 +584,43 @@ def jaccard_components(
     sets = found.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
     sets = written(sets, "jaccard-sets")
     first = sets.where("rep is not null").withColumnRenamed("rep", "id")
-    reps = found.join(first, ["id", "h1", "h2"], "left_semi").select(F.col("id").alias("rep"), "n", "prefix", "counts")
+    reps = found.join(first, ["id", "h1", "h2"], "left_semi").select(F.col("id").alias("rep"), "n", "h1", "prefix", "counts").dropDuplicates(["rep", "h1"])
     reps = written(reps, "jaccard-reps")
-    groups, members = prefix_groups(reps)
+    count = reps.count()
+    usual = F.expr(f"substring(prefix, 1, int(8 * (n - ceil({num} * n / {den}) + 1)))")
+    members = prefix_groups(reps.where("n > 0").select("rep", usual.alias("grams")), count)
+    marks = reps.select("rep", "h1", "n", "counts")
 
-    large = groups.where(F.col("size") > RUN)
+    large = members.where(F.col("size") > RUN)
     links, labels = None, None
     if not large.isEmpty():
-        mine = members.where(F.col("size") > RUN).groupBy("rep").agg(F.min(F.struct("gram", "size")).alias("group"))
-        runs = F.ceil(F.col("group.size") / RUN).cast("int")
+        mine = large.groupBy("rep").agg(F.min(F.struct("gram", "size")).alias("group"))
+        parts = F.ceil(F.col("group.size") / RUN).cast("int")
         turn = F.explode(F.array(F.lit(0), F.lit(1))).alias("turn")
-        units = mine.select("rep", F.col("rep").alias("component"), "group", turn)
-        unit = F.concat_ws(":", "group.gram", "turn", F.pmod(F.xxhash64("rep", "turn"), runs))
-        units = written(units.withColumn("unit", unit).select("unit", "rep", "component"), "jaccard-units")
+        unit = F.xxhash64("group.gram", "turn", F.pmod(F.xxhash64("rep", "turn"), parts))
+        units = mine.select("rep", F.col("rep").alias("component"), "group", turn).withColumn("unit", unit)
+        units = written(units.join(reps.select("rep", "h1"), "rep").select("unit", "rep", "h1", "component"), "jaccard-units")
         links = written(search_units(units, docs, id_col, text_col, num, den, order), "jaccard-links")
         labels = connected(links)
+        dropped(units)
     members = members.withColumn("component", F.col("rep"))
     if labels is not None:
         known = labels.toDF("rep", "label")
-        members = members.join(known, "rep", "left").withColumn("component", F.coalesce("label", "rep")).drop("label")
+        members = members.drop("component").join(known, "rep", "left").select("gram", "size", "rep", F.coalesce("label", "rep").alias("component"))
         members = written(members, "jaccard-labelled")
         open_ = members.groupBy("gram").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-        members = members.join(written(open_.select("gram"), "jaccard-open"), "gram", "left_semi")
-    kept = written(screen(members, reps, num, den), "jaccard-kept")
+        members = members.join(open_.select("gram"), "gram", "left_semi")
+        members = split_by_pairs(written(members, "jaccard-open"), reps, count, num, den)
+    kept = written(screen(members.join(marks, "rep"), num, den), "jaccard-kept")
     held = kept.groupBy("gram").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("mark"), F.min("rep").alias("anchor"))
     held = held.groupBy("size", "mark", "anchor").agg(F.min("gram").alias("gram")).select("gram", "size")
     kept = kept.drop("size").join(written(held, "jaccard-held"), "gram")
-    units = written(in_units(kept).select("unit", "rep", "component"), "jaccard-units")
+    units = written(in_units(kept, num, den).select("unit", "rep", "h1", "component"), "jaccard-units")
     more = written(search_units(units, docs, id_col, text_col, num, den, order), "jaccard-links")
     labels = connected(more if links is None else links.union(more))
     named = sets.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     named = written(named.select("h1", "h2", "component"), "jaccard-named")
+    dropped(*(t for t in (sets, reps, links, labels, more, units) if hasattr(t, "folder")))
     out = found.select("id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))

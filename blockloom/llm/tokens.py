@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ._bytes import LOWER, binary, flat, runs
 from ._shared import documents
 
 BYTES_AT_ONCE = 4_000_000
@@ -42,7 +43,6 @@ MARKED, LETTER, DIGIT, SIGN, SPACE = range(5)
 KIND = np.array(
     [MARKED if b >= 128 else SPACE if b == 32 or 9 <= b <= 13 else LETTER if chr(b).isalpha() else DIGIT if chr(b).isdigit() else SIGN for b in range(256)], np.uint8
 )
-LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 LATIN = 0xC3  # the lead byte of U+00C0 to U+00FF, all letters but U+00D7 and U+00F7
 #: More characters of three bytes that nothing changes and whose kind is sure: (first, last, kind).
 WIDE = ((0x3001, 0x3002, SIGN), (0x3041, 0x3096, LETTER), (0x30A1, 0x30FA, LETTER), (0x4E00, 0x9FBF, LETTER), (0xFF01, 0xFF01, SIGN), (0xFF0C, 0xFF0C, SIGN))
@@ -74,26 +74,6 @@ def never_inside(vocabulary: Iterable[str], word_end: str) -> np.ndarray:
     return flags
 
 
-def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a column of texts, and where each row starts and the last one ends; null texts are empty."""
-    held = column.cast(pa.large_binary()).fill_null(b"")
-    starts = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
-    data = np.frombuffer(held.buffers()[2] or b"", np.uint8)[starts[0] : starts[-1]]
-    return data, starts - starts[0]
-
-
-def binary(data: np.ndarray, starts: np.ndarray) -> pa.Array:
-    """The reverse of `flat`."""
-    buffers = [None, pa.py_buffer(np.ascontiguousarray(starts, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
-    return pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, buffers)
-
-
-def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The indices of all runs, one after another."""
-    ends = np.cumsum(lengths)
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-
-
 def kinds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The kind of each byte, and where the second bytes of capitals beyond ASCII are."""
     kind = KIND[data]

@@ -163,7 +163,12 @@ def components(rows, size, num, den):
 def test_jaccard_components(spark, monkeypatch, run, size, num, den):
     monkeypatch.setattr(jaccard_join, "RUN", run)
     monkeypatch.setattr(jaccard_join, "COMMON_FROM", 3)
-    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0 if run == 5 else 1_000_000)
+    if run == 2:
+        monkeypatch.setattr(jaccard_join, "MANY", 1)  # many groups are split by pairs of n-grams
+        monkeypatch.setattr(jaccard_join, "BITMAP", 64)  # a full bitmap lets nearly all texts pass
+    if run == 5:
+        monkeypatch.setattr(jaccard_join, "HOT_FROM", 6)
+        monkeypatch.setattr(jaccard_join, "HOT", 100)
     rows = prose(110, seed=run)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(documents(spark, rows), size=size, num=num, den=den).collect()}
     assert got == components(rows, size, num, den)
