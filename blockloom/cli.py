@@ -35,7 +35,8 @@ def arguments(argv: list[str], program: str = "") -> argparse.Namespace:
         p.add_argument(f"-{n}", *(["--fast"] if n == 1 else ["--best"] if n == 9 else []), dest="level", action="store_const", const=n)
     p.add_argument("-V", "--version", action="version", version="blockloom")
     p.add_argument("files", nargs="*")
-    base, cat = os.path.basename(program), ("zcat" in program or "z2cat" in program)
+    base = os.path.basename(program).lower()
+    cat = "zcat" in base or "z2cat" in base
     p.set_defaults(mode="d" if cat or "unzip" in base else "z", level=9, stdout=cat)
     return p.parse_args(argv)
 
@@ -43,7 +44,7 @@ def arguments(argv: list[str], program: str = "") -> argparse.Namespace:
 def unpacked_name(name: str) -> tuple[str, bool]:
     """The name without its suffix, and whether there was a known one."""
     for suffix, instead in SUFFIXES.items():
-        if name.endswith(suffix) and len(name) > len(suffix):
+        if name.endswith(suffix) and os.path.basename(name) != suffix:
             return name.removesuffix(suffix) + instead, True
     return name + ".out", False
 
@@ -53,8 +54,8 @@ def decimal(value: Decimal, digits: int) -> str:
 
 
 def summary(before: int, after: int) -> str:
-    if not before:
-        return "no data compressed."
+    if not before or not after:
+        return " no data compressed."
     a, b = Decimal(before), Decimal(after)
     saved = decimal(100 * (a - b) / a, 2)
     return f"{decimal(a / b, 3):>6}:1, {decimal(8 * b / a, 3):>6} bits/byte, {saved:>5}% saved, {before} in, {after} out."
@@ -71,8 +72,17 @@ def packed(data: bytes, level: int, workers: int) -> bytes:
     return block.assembled(done, level)
 
 
-def one(name: str, o: argparse.Namespace) -> int:
+def unpacked(data: bytes, workers: int) -> stream.Decoded:
+    if workers == 1:
+        return stream.decompress(data)
+    with ProcessPoolExecutor(workers) as pool:
+        return stream.decompress_on(pool, data)
+
+
+def one(name: str, o: argparse.Namespace, column: int = 0) -> int:
     say = lambda text: print(f"{name}: {text}", file=sys.stderr)
+    tell = lambda text: print(f"  {name}: {'':{max(0, column - len(name))}}{text}", file=sys.stderr)
+    workers = 1 if o.small else max(1, o.threads)
     to_stdout = o.stdout or name == "-"
     try:
         if name != "-":
@@ -84,8 +94,8 @@ def one(name: str, o: argparse.Namespace) -> int:
                 say("is a link.")
                 return 1
         if o.mode == "z" and name != "-":
-            known = next((s for s in SUFFIXES if name.endswith(s)), None)
-            if known and not to_stdout:
+            known = next((s for s in SUFFIXES if name.endswith(s) and os.path.basename(name) != s), None)
+            if known:
                 say(f"already has suffix {known}.")
                 return 1
         if name == "-" and o.mode != "z" and sys.stdin.isatty() or o.mode == "z" and to_stdout and sys.stdout.isatty():
@@ -93,12 +103,12 @@ def one(name: str, o: argparse.Namespace) -> int:
             return 1
         data = sys.stdin.buffer.read() if name == "-" else Path(name).read_bytes()
         if o.mode == "z":
-            out = packed(data, o.level, 1 if o.small else max(1, o.threads))
+            out = packed(data, o.level, workers)
             if o.verbose:
-                say(summary(len(data), len(out)))
+                tell(summary(len(data), len(out)))
             target = name + ".bz2"
         else:
-            got = stream.decompress(data)
+            got = unpacked(data, workers)
             if got.error:
                 say(f"damaged: {got.error}")
                 return 2
@@ -106,7 +116,7 @@ def one(name: str, o: argparse.Namespace) -> int:
                 say("trailing garbage ignored.")
             if o.mode == "t":
                 if o.verbose:
-                    say("ok")
+                    tell("ok")
                 return 0
             out = got.raw
             target, known = unpacked_name(name)
@@ -125,6 +135,11 @@ def one(name: str, o: argparse.Namespace) -> int:
         try:
             with os.fdopen(handle, "wb") as f:
                 f.write(out)
+            own = os.stat(name)
+            try:
+                os.chown(target, own.st_uid, own.st_gid)
+            except OSError:
+                pass  # only the superuser may give files away
             shutil.copystat(name, target)
         except BaseException:
             os.unlink(target)
@@ -144,7 +159,8 @@ def main(argv: list[str] | None = None, program: str | None = None) -> int:
         o = arguments(sys.argv[1:] if argv is None else argv, sys.argv[0] if program is None else program)
     except SystemExit as e:
         return 1 if e.code else 0
-    return max([one(name, o) for name in o.files or ["-"]])
+    names = o.files or ["-"]
+    return max([one(name, o, max(map(len, names))) for name in names])
 
 
 if __name__ == "__main__":

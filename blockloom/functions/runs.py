@@ -41,6 +41,15 @@ def encode(data: bytes) -> bytes:
     return out.tobytes()
 
 
+def coded_length(data: bytes) -> int:
+    """The length of `encode`'s result."""
+    a = np.frombuffer(data, np.uint8)
+    lengths = np.diff(np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]]))) if len(a) else a
+    long = lengths[lengths >= 4]
+    rest = long % LONGEST
+    return int(len(a) - long.sum() + (long // LONGEST * 5 + np.where(rest >= 4, 5, rest)).sum())
+
+
 def decode(coded: bytes) -> bytes:
     """Counts of up to 255 are accepted. The bytes after four equal ones are counts, which start no run themselves."""
     out, at, n = bytearray(), 0, len(coded)

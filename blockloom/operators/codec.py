@@ -21,6 +21,7 @@ from pyspark.sql.functions import pandas_udf
 from .. import schemas
 from ..functions import block, crc, runs, stream
 from ..functions.errors import Damaged, checked_level
+from ..plans.offsets import concatenated
 
 #: Raw bytes of one output row; a block that expands to more gives several.
 CHUNK_BYTES = 2 << 20
@@ -212,7 +213,8 @@ def decoded_rows(file_id: int, seq: int, start: int, bits: int, level: int | Non
         raw = block.decode_block(data, first_bit, bits, level or 9)
     except Damaged as e:
         return [base | empty | {"error": e.name}]
-    whole = {"crc": crc.block_crc(raw), "stored_crc": stored, "block_length": len(runs.encode(raw)), "error": None}
+    # Decoding has checked that the bytes have this checksum.
+    whole = {"crc": stored, "stored_crc": stored, "block_length": runs.coded_length(raw), "error": None}
     return [base | whole | {"chunk_no": k, "raw": raw[a : a + CHUNK_BYTES]} for k, a in enumerate(range(0, len(raw), CHUNK_BYTES))]
 
 
@@ -373,8 +375,7 @@ def whole_files(decoded: DataFrame, report: DataFrame, mode: str = "PERMISSIVE")
     pieces = F.array_sort(F.collect_list(F.struct("seq", "chunk_no", "raw")))
     raw = decoded.where("kind = 'block'").groupBy("file_id").agg(pieces.alias("pieces"))
     joined = report.select("file_id", "error").join(raw, "file_id", "left")
-    empty = F.lit(b"")
-    data = F.aggregate(F.coalesce("pieces", F.array().cast("array<struct<seq:bigint,chunk_no:int,raw:binary>>")), empty, lambda a, x: F.concat(a, x["raw"]))
+    data = concatenated(F.coalesce("pieces", F.array().cast("array<struct<seq:bigint,chunk_no:int,raw:binary>>")), lambda x: x["raw"])
     good = F.col("error").isNull()
     bad = F.raise_error(F.concat(F.lit("damaged: "), F.col("error"))).cast("binary") if mode == "FAILFAST" else F.lit(None).cast("binary")
     return joined.select("file_id", F.when(good, data).otherwise(bad).alias("raw"), "error")

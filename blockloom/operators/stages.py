@@ -126,11 +126,11 @@ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * power(2.0, len)) AS BIGI
 
 
 def output_names(d: Dialect, t: str) -> str:
-    """t: k, x. Names that compression and decompression write; what has a known suffix is not compressed again."""
-    return f"""SELECT k, x, CASE WHEN x LIKE '%.bz2' OR x LIKE '%.bz' OR x LIKE '%.tbz2' OR x LIKE '%.tbz' THEN NULL ELSE x || '.bz2' END AS packed,
-CASE WHEN x LIKE '%.bz2' THEN substr(x, 1, length(x) - 4) WHEN x LIKE '%.bz' THEN substr(x, 1, length(x) - 3)
-WHEN x LIKE '%.tbz2' THEN substr(x, 1, length(x) - 5) || '.tar' WHEN x LIKE '%.tbz' THEN substr(x, 1, length(x) - 4) || '.tar'
-ELSE x || '.out' END AS unpacked FROM {t}"""
+    """t: k, x. Names that compression and decompression write; what has a known suffix is not compressed again. A name that is a suffix alone has none."""
+    ends = {s: f"(x LIKE '%_{s}' AND x NOT LIKE '%/{s}')" for s in (".bz2", ".bz", ".tbz2", ".tbz")}
+    cases = " ".join(f"WHEN {ends[s]} THEN substr(x, 1, length(x) - {len(s)}) || '{'.tar' * ('t' in s)}'" for s in ends)
+    return f"""SELECT k, x, CASE WHEN {' OR '.join(ends.values())} THEN NULL ELSE x || '.bz2' END AS packed,
+CASE {cases} ELSE x || '.out' END AS unpacked FROM {t}"""
 
 
 def exit_codes(d: Dialect, t: str) -> str:

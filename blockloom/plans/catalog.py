@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql.functions import pandas_udf
 from ..functions import block, crc, huffman, runs, transform
 from ..operators import codec, report, stages
 from ..session import ship
-from .offsets import chunks
+from .offsets import chunks, concatenated
 
 CHUNK = runs.safe_chunk(1)
 FEW = 64
@@ -79,7 +80,7 @@ def few_documents(spark: SparkSession, sf_dir: str, cell: int = FEW) -> DataFram
 
 
 def one_after_another(parts, data: str):
-    return F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x[data]))
+    return concatenated(parts, lambda x: x[data])
 
 
 def concat_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +172,7 @@ def refused(spoil: Callable[[bytes, int], bytes]) -> Callable[[SparkSession, str
 
         docs = table(spark, sf_dir, "documents").select("doc_id", codec.compressed(binary("text"), 1).alias("packed"))
         got = docs.select("doc_id", codec.decompressed(spoiled("packed", "doc_id")).alias("got"))
-        return got.select("doc_id", F.col("got.error").isNotNull().alias("refused"))
+        return got.select("doc_id", F.col("got.error").alias("error"), F.col("got.raw").isNull().alias("refused"))
 
     return run
 
@@ -336,7 +337,8 @@ def compression_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.withColumn("line", report.summary(F.col("bytes_in"), F.col("bytes_out")))
 
 
-SIZES = ((98_696, 32_348), (212_340, 72_612), (0, 14), (1, 37), (120_244, 235), (300_000, 47))
+#: Sizes with published report lines, and some more.
+SIZES = ((98_696, 32_348), (212_340, 72_612), (0, 14), (5, 0), (1, 37), (120_244, 235), (300_000, 47))
 
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,6 +361,50 @@ def source_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through_files(table(spark, sf_dir, "lineitem"))
 
 
+def variants_of(content: bytes) -> dict[str, bytes]:
+    """A stream of a hundred kB or more, spoiled or with something behind it."""
+    flipped = lambda at: content[:at] + bytes([content[at] ^ 0x10]) + content[at + 1 :]
+    marker, end = (m.to_bytes(6, "big") + b"\0\0" for m in (block.BLOCK_MAGIC, block.END_MAGIC))
+    return {
+        "block checksum": flipped(12), "stream checksum": flipped(len(content) - 3), "cut": content[:-4], "header behind": content + b"BZh9", "no header": b"#" + content,
+        "none": content, "garbage": content + b"garbage", "zeros": content + bytes(100), "marker": content + marker, "end marker": content + end, "twice": content + content,
+    }
+
+
+def through_source(wanted: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Files of several blocks and their variants, read by the data source in many tasks: the report, and how many bytes came out."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ..sources.bz2blocks import read_files, write_files
+        from .shared import new_folder
+
+        names = re.findall(r"\('([a-z ]+)'", wanted)
+
+        def spread(batches):
+            for batch in batches:
+                for file_id, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    own = variants_of(content)
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{file_id}-{n}.bz2" for n in names]), pa.array([own[n] for n in names], pa.binary())], ["name", "content"])
+
+        folder = new_folder(spark, "variants")
+        write_files(multi_block_files(spark, sf_dir).select("file_id", "content").mapInArrow(spread, "name string, content binary"), folder)
+        blocks, told = read_files(spark, folder, "PERMISSIVE", 64 << 10)
+        sizes = blocks.groupBy("path").agg(F.sum(F.octet_length("raw")).cast("long").alias("n_bytes"))
+        name = F.element_at(F.split("path", "/"), -1)
+        keys = (F.regexp_extract(name, r"^(\d+)-", 1).cast("long").alias("file_id"), F.regexp_extract(name, r"-([a-z ]+)\.", 1).alias("variant"))
+        return told.join(sizes, "path", "left").select(*keys, "streams", "trailing", "error", "n_bytes")
+
+    return run
+
+
+def source_refuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return through_source(SPOILED)(spark, sf_dir).select("file_id", "variant", "error", "n_bytes")
+
+
+def source_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return through_source(TAILED)(spark, sf_dir).select("file_id", "variant", "streams", "trailing", "n_bytes")
+
+
 STAGES = {
     "rle1_runs": (stages.rle1_runs, SHORT),
     "bwt_column": (stages.bwt_column, SHORT),
@@ -405,6 +451,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_lines": report_lines,
     "stream_events": stream_events,
     "source_blocks": source_blocks,
+    "source_refuses": source_refuses,
+    "source_trailing": source_trailing,
 } | {name: sql(*x) for name, x in STAGES.items()}
 
 TABLE = "[" + ", ".join(map(str, crc.table())) + "]"
@@ -414,9 +462,12 @@ STREAMS = "SELECT source, hex(encode(string_agg(coalesce(text, '') || chr(10), '
 PIECES = f"""WITH s AS ({STREAMS}), c AS (SELECT source, i AS chunk_no, substr(hx, 2 * {CHUNK} * i + 1, 2 * {CHUNK}) AS hx
 FROM s, LATERAL (SELECT unnest(range(0, CAST(ceil(length(hx) / 2.0 / {CHUNK}) AS BIGINT))) AS i) e)"""
 FILES = f"SELECT doc_id // {FEW} AS file_id, count(*) AS docs, string_agg(coalesce(text, ''), '' ORDER BY doc_id) AS x FROM documents GROUP BY 1"
+SPOILED = "('block checksum', 'BlockCrcMismatch'), ('stream checksum', 'StreamCrcMismatch'), ('cut', 'Truncated'), ('header behind', 'Truncated'), ('no header', 'NotBzip2')"
+TAILED = "('none', 1, false), ('garbage', 1, true), ('zeros', 1, true), ('marker', 1, true), ('end marker', 1, true), ('twice', 2, false)"
 BYTES = """WITH h AS (SELECT doc_id, lang, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS l FROM documents),
 d AS (SELECT doc_id, lang, unnest(l) AS hx, generate_subscripts(l, 1) AS i FROM h),
 b AS (SELECT doc_id, lang, CAST(('0x' || hx) AS INT) AS byte, i FROM d)"""
+#: The report lines of SIZES.
 LINE = ", ".join(
     f"({a}, {b}, '{line}')"
     for (a, b), line in zip(
@@ -424,7 +475,8 @@ LINE = ", ".join(
         (
             " 3.051:1,  2.622 bits/byte, 67.22% saved, 98696 in, 32348 out.",
             " 2.924:1,  2.736 bits/byte, 65.80% saved, 212340 in, 72612 out.",
-            "no data compressed.",
+            " no data compressed.",
+            " no data compressed.",
             " 0.027:1, 296.000 bits/byte, -3600.00% saved, 1 in, 37 out.",
             "511.677:1,  0.016 bits/byte, 99.80% saved, 120244 in, 235 out.",
             "6382.979:1,  0.001 bits/byte, 99.98% saved, 300000 in, 47 out.",
@@ -444,9 +496,11 @@ ORACLE_SQL: dict[str, str] = {
     "segment_decode": f"SELECT file_id, 1 AS streams, false AS trailing, CAST(NULL AS VARCHAR) AS error, CAST(strlen(x) AS INT) AS n_bytes, md5(x) AS md5 FROM ({FILES})",
     "false_markers": f"SELECT file_id, CAST(NULL AS VARCHAR) AS error, CAST(strlen(x) AS INT) AS n_bytes, md5(x) AS md5 FROM ({FILES})",
     "trailing_bytes": "SELECT doc_id, variant, variant <> 'none' AS trailing, true AS ok FROM documents, (VALUES ('none'), ('garbage'), ('zero'), ('zeros'), ('header'), ('marker')) v(variant)",
-    "refuse_damaged": "SELECT doc_id, true AS refused FROM documents",
-    "refuse_truncated": "SELECT doc_id, true AS refused FROM documents",
-    "refuse_not_bzip2": "SELECT doc_id, true AS refused FROM documents",
+    "refuse_damaged": "SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 'StreamCrcMismatch' ELSE 'BlockCrcMismatch' END AS error, true AS refused FROM documents",
+    "refuse_truncated": "SELECT doc_id, 'Truncated' AS error, true AS refused FROM documents",
+    "refuse_not_bzip2": "SELECT doc_id, 'NotBzip2' AS error, true AS refused FROM documents",
+    "source_refuses": f"SELECT file_id, variant, error, CAST(NULL AS BIGINT) AS n_bytes FROM ({FILES}), (VALUES {SPOILED}) v(variant, error)",
+    "source_trailing": f"SELECT file_id, variant, streams, trailing, CAST(streams * strlen(x) AS BIGINT) AS n_bytes FROM ({FILES}), (VALUES {TAILED}) v(variant, streams, trailing)",
     "verify_files": f"SELECT file_id, true AS ok, false AS trailing, 0 AS exit_code FROM ({FILES})",
     "marker_scan": """SELECT r_regionkey * 100 + s AS file_id, kind, CASE WHEN kind = 'block' THEN s + 8 * strlen(r_name) ELSE s + 16 * strlen(r_name) + 48 END AS bit
 FROM region, range(0, 80) t(s), (VALUES ('block'), ('end')) v(kind)""",

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 CELL = 4096
 
 
+def concatenated(pieces: Column, of) -> Column:
+    """The binary values `of` an array's elements, one behind the other, in linear time; no elements give no bytes."""
+    return F.unhex(F.array_join(F.transform(pieces, lambda x: F.hex(of(x))), ""))
+
+
 def with_offsets(rows: DataFrame, stream: str, order: str, size: str, cell: int = CELL) -> DataFrame:
     """rows with `offset`, the sum of size before each row of its stream: within cells of the order, then over cells."""
     rows = rows.withColumn("__cell", F.floor(F.col(order) / cell))
@@ -21,7 +26,10 @@ def with_offsets(rows: DataFrame, stream: str, order: str, size: str, cell: int
 
 
 def chunks(rows: DataFrame, stream: str, order: str, data: str, chunk: int) -> DataFrame:
-    """(stream, chunk_no, raw): the streams' bytes in chunks; only bytes of one chunk meet in a task."""
+    """(stream, chunk_no, raw): the streams' bytes in chunks; only bytes of one chunk meet in a task.
+
+    stream and order aren't null, and no two rows share both; order gives the same values whenever it is computed again.
+    """
     placed = rows.select(stream, order, F.octet_length(data).alias("__n"))
     placed = with_offsets(placed, stream, order, "__n").select(stream, order, "offset")
     pieces = rows.select(stream, order, F.col(data).alias("__data")).join(placed, [stream, order])
@@ -33,5 +41,4 @@ def chunks(rows: DataFrame, stream: str, order: str, data: str, chunk: int) -> D
     part = F.substring(F.col("__data"), (start + 1).cast("int"), (stop - start).cast("int"))
     pieces = pieces.select(stream, "chunk_no", "offset", order, part.alias("part"))
     ordered = F.array_sort(F.collect_list(F.struct("offset", order, "part")))
-    raw = F.aggregate(ordered, F.lit(b""), lambda a, x: F.concat(a, x["part"]))
-    return pieces.groupBy(stream, "chunk_no").agg(raw.alias("raw"))
+    return pieces.groupBy(stream, "chunk_no").agg(concatenated(ordered, lambda x: x["part"]).alias("raw"))

@@ -93,17 +93,65 @@ def test_null_values(spark):
 
 
 def test_source_reads_one_file_in_many_tasks(spark, tmp_path):
-    from blockloom.sources.bz2blocks import Bz2Blocks
+    from blockloom.sources.bz2blocks import read_files
 
-    spark.dataSource.register(Bz2Blocks)
     data = lines(60_000)
     (tmp_path / "a.bz2").write_bytes(bz2.compress(data, 1))
-    got = spark.read.format("bz2blocks").option("range_bytes", 50_000).load(str(tmp_path / "a.bz2"))
-    assert got.rdd.getNumPartitions() > 3
-    assert b"".join(bytes(r["raw"]) for r in sorted(got.collect(), key=lambda r: (r["start_bit"], r["chunk_no"]))) == data
+    for size in (4_000, 50_000):
+        got, told = read_files(spark, str(tmp_path / "a.bz2"), range_bytes=size)
+        assert got.rdd.getNumPartitions() > 3
+        assert b"".join(bytes(r["raw"]) for r in sorted(got.collect(), key=lambda r: (r["start_bit"], r["chunk_no"]))) == data
+        assert [(r["streams"], r["trailing"], r["error"]) for r in told.collect()] == [(1, False, None)]
     (tmp_path / "b.bz2").write_bytes(b"no stream")
     with pytest.raises(Exception, match="NotBzip2"):
-        spark.read.format("bz2blocks").load(str(tmp_path / "b.bz2")).collect()
+        read_files(spark, str(tmp_path / "b.bz2"))[0].collect()
+
+
+@pytest.mark.parametrize("mode", ["FAILFAST", "PERMISSIVE"])
+def test_source_checks_streams(spark, tmp_path, mode):
+    from blockloom.sources.bz2blocks import read_files
+
+    data, more = lines(9_000), noise(9_000, 5)
+    packed, magic = bz2.compress(data, 1), bytes.fromhex("314159265359")
+    spoil = lambda at: packed[:at] + bytes([packed[at] ^ 4]) + packed[at + 1 :]
+    cases = {
+        "sum": (spoil(len(packed) - 4), "StreamCrcMismatch"), "cut": (packed[:-4], "Truncated"), "half": (packed[: len(packed) // 2], "Truncated"), "block": (spoil(11), "BlockCrcMismatch"),
+        "empty": (b"", "NotBzip2"), "bz": (b"BZ", "Truncated"), "head": (b"BZh9", "Truncated"), "other": (b"BZh9" + bytes(20), "BadBlockMagic"), "next": (packed + b"BZh9", "Truncated"),
+        "marker": (packed + magic + b"\0\0", None), "garbage": (packed + b"garbage", None), "two": (packed + bz2.compress(more, 9), None), "none": (bz2.compress(b""), None),
+    }
+    want = {"marker": data, "garbage": data, "two": data + more, "none": b""}
+    for name, (content, error) in cases.items():
+        (tmp_path / f"{name}.bz2").write_bytes(content)
+    if mode == "PERMISSIVE":
+        blocks, told = read_files(spark, str(tmp_path), mode, 5_000)
+        report = {os.path.basename(r["path"]).removesuffix(".bz2"): r for r in told.collect()}
+        assert {n: r["error"] for n, r in report.items()} == {n: e for n, (_, e) in cases.items()}
+        assert {n for n, r in report.items() if r["trailing"]} == {"marker", "garbage"} and report["two"]["streams"] == 2
+        rows = blocks.collect()
+        for name in cases:
+            own = sorted((r["start_bit"], r["chunk_no"], bytes(r["raw"])) for r in rows if r["path"].endswith(f"/{name}.bz2"))
+            assert b"".join(x[2] for x in own) == want.get(name, b"")
+    else:
+        for name, (_, error) in cases.items():
+            if error:
+                with pytest.raises(Exception, match=error):
+                    read_files(spark, str(tmp_path / f"{name}.bz2"), mode, 5_000)[0].collect()
+            else:
+                blocks, _ = read_files(spark, str(tmp_path / f"{name}.bz2"), mode, 5_000)
+                assert b"".join(bytes(r["raw"]) for r in sorted(blocks.collect(), key=lambda r: r["start_bit"])) == want[name]
+
+
+def test_false_markers_in_another_range_are_candidates_only():
+    import pandas as pd
+
+    from blockloom.functions.crc import combine
+    from blockloom.sources.bz2blocks import walked
+
+    rows = [("f", "start", 0, 8_000, None, 9, None), ("f", "block", 32, 3_000, 7, None, None), ("f", "block", 1_000, 2_000, 5, None, "BadHuffmanCode"), ("f", "block", 3_000, 5_000, 9, None, None)]
+    rows += [("f", "end", 5_000, 5_080, combine(combine(0, 7), 9), None, None), ("f", "block", 6_000, 8_000, 3, None, "Truncated")]
+    names = ["path", "kind", "start_bit", "end_bit", "crc", "opens", "error"]
+    got = walked(pd.DataFrame(rows[::-1], columns=names)).iloc[0]
+    assert (got["error"], got["streams"], got["blocks"], got["false_bits"], got["last_bit"], got["trailing"]) == (None, 1, 2, [1_000], 5_080, True)
 
 
 def test_sink_writes_files_any_tool_reads(spark, tmp_path):
@@ -157,7 +205,7 @@ def test_command_exit_codes(tmp_path, capsys):
     assert cli.main(["-t", str(tmp_path / "none.bz2")]) == 1
     assert cli.main(["-tk", str(tmp_path / "none"), str(bad), str(good)]) == 2
     assert "trailing" in capsys.readouterr().err
-    assert cli.main([str(good)]) == 1 and cli.main(["--nonsense"]) == 1 and cli.main([str(tmp_path)]) == 1
+    assert cli.main([str(good)]) == cli.main(["-c", str(good)]) == 1 and cli.main(["--nonsense"]) == 1 and cli.main([str(tmp_path)]) == 1
 
 
 def test_command_streams(monkeypatch, capsysbinary):
@@ -176,6 +224,8 @@ def test_command_streams(monkeypatch, capsysbinary):
 def test_names_and_summaries():
     assert [cli.unpacked_name(n)[0] for n in ("a.bz2", "a.bz", "a.tbz2", "a.tbz", "a.x")] == ["a", "a", "a.tar", "a.tar", "a.x.out"]
     assert cli.summary(98_696, 32_348) == " 3.051:1,  2.622 bits/byte, 67.22% saved, 98696 in, 32348 out."
-    assert cli.summary(0, 14) == "no data compressed."
+    assert cli.summary(0, 14) == cli.summary(5, 0) == " no data compressed."
+    assert cli.arguments([], "BUNZIP2").mode == "d" and cli.arguments([], "/bin/BZCAT").stdout is True
+    assert cli.unpacked_name("x/.bz2") == ("x/.bz2.out", False)
     assert cli.arguments([], "bunzip2").mode == "d" and cli.arguments([], "bzcat").stdout is True
     assert cli.arguments(["-3", "-7"]).level == 7

@@ -2,6 +2,7 @@
 
 import bz2
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -11,6 +12,7 @@ from blockloom.functions import block, crc, huffman, runs, stream, transform
 from blockloom.functions.errors import Damaged
 
 
+#: Fixed values from here to SIZES: the recipes of inputs whose packed sizes are published, and those of the C library at levels 1, 2 and 9.
 def noise(length, seed):
     s, out = seed | 1, bytearray()
     for _ in range(length):
@@ -38,6 +40,18 @@ SAMPLES = {
     "periodic": b"abcdefghij" * 5000,
     "zero origin": bytes([0, 0, 67, 0, 67, 0, 0, 5, 0, 0]),
 }
+SIZES = {
+    "empty": (14, 14, 14), "one byte": (37, 37, 37), "every byte value": (425, 425, 425), "zeros": (47, 47, 47), "noise": (151_372, 151_094, 151_094),
+    "text": (61_981, 61_615, 62_138), "runs": (2_152, 2_152, 2_152), "four": (69, 69, 69), "five": (69, 69, 69),
+}
+
+
+@pytest.mark.parametrize("name", SIZES)
+def test_packed_sizes(name):
+    assert tuple(len(stream.compress(SAMPLES[name], level)) for level in (1, 2, 9)) == SIZES[name]
+    for level, size in zip((1, 9), SIZES[name][::2], strict=True):
+        # Whole runs stay in one block, so cuts are a little different.
+        assert len(stream.compress_in_blocks(SAMPLES[name], level)) <= 1.005 * size + 8
 
 
 @pytest.mark.parametrize("name", SAMPLES)
@@ -155,3 +169,33 @@ def test_levels():
     large = noise(150_000, 9)
     packed = bz2.compress(large, 9)
     assert stream.decompress(b"BZh1" + packed[4:]).error is not None
+
+
+def test_coded_length():
+    for data in [*SAMPLES.values(), b"", b"a", b"a" * 3, b"a" * 4, b"a" * 255, b"a" * 258, b"a" * 259, b"a" * 600 + b"b"]:
+        assert runs.coded_length(data) == len(runs.encode(data))
+
+
+def test_many_streams_in_a_row_take_linear_time():
+    one = bz2.compress(noise(3_000, 9), 1)
+    got = stream.decompress(one * 400 + bz2.compress(bytes(9_000_000)) + b"tail")
+    assert got.streams == 401 and got.trailing and got.error is None and len(got.raw) == 400 * 3_000 + 9_000_000
+
+    def seconds(n):
+        began = time.process_time()
+        assert stream.decompress(one * n).streams == n
+        return time.process_time() - began
+
+    assert min(seconds(1_600) for _ in range(2)) < 8 * min(seconds(400) for _ in range(2)) + 0.1
+
+
+def test_blocks_side_by_side():
+    from concurrent.futures import ThreadPoolExecutor
+
+    packed = bz2.compress(lines(30_000), 1)
+    spoiled = packed[:2_000] + bytes([packed[2_000] ^ 1]) + packed[2_001:]
+    cases = [packed, packed + bz2.compress(b"more") + b"junk", packed[:-3], spoiled, packed[:-4] + b"\1\2\3\4", packed + b"BZh1", b"", b"BZh", bz2.compress(b"")]
+    with ThreadPoolExecutor(3) as pool:
+        for data in cases:
+            assert stream.decompress_on(pool, data) == stream.decompress(data)
+    assert len(stream.places(packed)[0]) > 3 and stream.places(packed[:-3]) is None
