@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from blockloom.llm import exact_dedup, fingerprints, jaccard_join
 
@@ -33,18 +34,29 @@ def test_exact_dedup(spark, rows, capacity):
 
 def test_buckets_split_until_they_fit(spark):
     rows = prose(300, seed=9)
-    index = exact_dedup.build_index(documents(spark, rows), capacity=4).collect()
-    held = Counter((r["bucket"], r["depth"]) for r in index)
+    index = exact_dedup.build_index(documents(spark, rows), capacity=4)
+    entries = index.entries.collect()
+    held = Counter((r["bucket"], r["depth"]) for r in entries)
     assert max(held.values()) <= 4 and len(held) > 10
-    for r in index:
-        prefix = (r["hash"] & (1 << 64) - 1) >> 48
-        assert prefix >> 16 - r["depth"] << 16 - r["depth"] == r["bucket"]
-    spans = sorted((b, b + (1 << 16 - d)) for b, d in held)
+    for r in entries:
+        prefix = (r["hash"] & (1 << 64) - 1) >> 64 - index.max_depth
+        assert prefix >> index.max_depth - r["depth"] << index.max_depth - r["depth"] == r["bucket"]
+    spans = sorted((b, b + (1 << index.max_depth - d)) for b, d in held)
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+def test_colliding_hashes_chain(spark):
+    rows = [(k, f"Text {k % 40}") for k in range(120)] + [(200, None), (201, "")]
+    few = lambda c: F.pmod(F.length(c), F.lit(3)).cast("long")
+    got = exact_dedup.exact_dedup(documents(spark, rows), capacity=4, hash_of=few).collect()
+    assert len(got) == len(rows) and max(r["chain"] for r in got) > 10
+    assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in got} == {(k, k % 40 + 80, 3) for k in range(120)} | {(200, 201, 2), (201, 201, 2)}
+    assert len({(r["bucket"], r["chain"], r["text_sha256"]) for r in got}) == 41
+
+
 def test_drop_copies_keeps_rows_whole(spark):
     docs = documents(spark, [(1, "A b"), (2, "a B"), (2, "a B"), (3, "c"), (None, "d"), (None, "d"), (4, None), (5, "")])
+    docs = docs.selectExpr("*", "'own' AS sha", "'own' AS its", "'own' AS __sha", "'own' AS __keep_id")
     got = exact_dedup.drop_copies(docs)
     assert got.columns == docs.columns
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted([(2, "a B"), (3, "c"), (None, "d"), (5, "")], key=repr)
@@ -209,3 +221,12 @@ def test_empty_tables(spark):
     assert exact_dedup.exact_dedup(none).count() == 0 and exact_dedup.drop_copies(none).count() == 0
     assert fingerprints.fingerprint_documents(none).count() == 0
     assert jaccard_join.jaccard_components(none).count() == 0 and jaccard_join.drop_near_copies(none).count() == 0
+
+
+def test_sql_of_exact_dedup(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    documents(spark, [(i, t) for i, t in prose(150) + [(900, None), (901, ""), (902, "ÀÉ x"), (903, "ÀÉ X")]], clashing=False).write.parquet(f"{tmp_path}/documents.parquet")
+    want = duckdb.sql(exact_dedup.OP1_SQL.replace("documents", f"'{tmp_path}/documents.parquet/*.parquet'"))
+    got = exact_dedup.op1_exact_dedup(spark, str(tmp_path))
+    assert got.columns == want.columns
+    assert Counter(map(tuple, got.collect())) == Counter(want.fetchall())
