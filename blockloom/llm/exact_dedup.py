@@ -35,10 +35,11 @@ def directory(entries: DataFrame, capacity: int, max_depth: int) -> DataFrame:
     """(prefix, depth, bucket) for each non-empty slot: the state after all directory doublings.
 
     entries has a column `prefix`, the first max_depth bits of the hash. `bucket` is the first slot of
-    the bucket, so that buckets follow the order of the hashes.
+    the bucket, so that buckets follow the order of the hashes. The directory begins with a depth at which evenly spread hashes fill buckets
+    several times over, so no node has a great share of the slots.
     """
     slots = entries.groupBy("prefix").agg(F.count("*").alias("held"))
-    depths = slots.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(max_depth))))
+    depths = slots.withColumn("depth", F.explode(F.sequence(F.lit(max(0, max_depth - SPARE - 3)), F.lit(max_depth))))
     depths = depths.withColumn("node", F.expr(f"shiftright(prefix, {max_depth} - depth)"))
     full = depths.groupBy("depth", "node").agg(F.sum("held").alias("node_held"))
     fits = (F.col("node_held") <= capacity) | (F.col("depth") == max_depth)
