@@ -50,8 +50,11 @@ def row_groups(starts: np.ndarray, at_once: int = AT_ONCE):
         row = stop
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, runs of anything but ASCII white space with A-Z lowered, and how many words stand before each row."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, tail_bits: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, runs of anything but ASCII white space with A-Z lowered, and how many words stand before each row.
+
+    tail_bits: so many of the first bits are a hash of a word's last four bytes.
+    """
     blank = BLANK[data]
     begins = np.zeros(len(data) + 1, bool)
     begins[starts] = True
@@ -67,4 +70,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     value = PLACED[(place & 63) << 8 | low]
     far = np.flatnonzero(place >= 64)
     value[far] = mixed(mixed((place[far] << 8 | low[far]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    return mixed(np.add.reduceat(value, at)), before
+    hashes = mixed(np.add.reduceat(value, at))
+    if tail_bits:
+        last, tail = np.append(at[1:], len(low)) - 1, np.zeros(len(at), np.int64)
+        for back in range(4):
+            tail = tail << 9 | np.where(last - back >= at, low[last - back] + 1, 0)
+        shift = np.uint64(64 - tail_bits)
+        hashes = mixed(mixed(tail.view(np.uint64) + np.uint64(1))) >> shift << shift | hashes >> np.uint64(tail_bits)
+    return hashes, before

@@ -122,17 +122,21 @@ def test_toxicity_edge_cases(spark):
     assert toxicity.score_toxicity(documents(spark, []), model).count() == 0
 
 
+def words_of(text):
+    return (text or "").encode().translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))).split()
+
+
 def brute_base(rows):
     c = Counter()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
     for i, t in rows:
         if not held(i):
-            c.update(language_model.words_of((t or "").encode()))
+            c.update(words_of(t))
             c[None] += 1
     n, d = sum(c.values()), sum(c.values()) + 0.1 * (len(c) + 1)
     out = Counter()
     for i, t in rows:
-        words = [*language_model.words_of((t or "").encode()), None]
+        words = [*words_of(t), None]
         out[i, held(i), len(words), sum(c[w] > 0 for w in words), n, round(sum(math.log10((c[w] + 0.1) / d) for w in words), 4)] += 1
     return out
 
@@ -141,23 +145,87 @@ def brute_base(rows):
 @pytest.mark.parametrize("rows", [prose(150, seed=6), awkward()], ids=["prose", "awkward"])
 def test_language_model_counts(spark, monkeypatch, rows, looked_up):
     monkeypatch.setattr(language_model, "LOOKED_UP", looked_up)
-    monkeypatch.setattr(language_model, "STEPS", 20)
+    monkeypatch.setattr(language_model, "SEEN", 0)
     got = language_model.score_texts(documents(spark, rows)).collect()
     keys = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens")
     assert Counter((*(r[k] for k in keys), round(r["base_score"], 4)) for r in got) == brute_base(rows)
     assert all(r["score"] < 0 for r in got)
 
 
+@pytest.mark.parametrize("looked_up", [300, 1 << 18])
+def test_language_model_scores(spark, monkeypatch, looked_up):
+    """Against a plain evaluation, word by word, of the model as it is before any training."""
+    rows = [(i, t) for i, t in prose(60, seed=8, vocabulary=900) + awkward() if i is not None]
+    monkeypatch.setattr(language_model, "LOOKED_UP", looked_up)
+    monkeypatch.setattr(language_model, "trained", lambda training, shared, model, passes: model)
+    got = Counter((r["doc_id"], r["n_tokens"], round(r["score"], 3)) for r in language_model.score_texts(documents(spark, rows)).collect())
+    key = lambda w: int(language_model.keys_of(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0])
+    c = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in words_of(t))
+    ends = sum(zlib.crc32(str(i).encode()) % 10 > 0 for i, _ in rows)
+    bits = language_model.class_bits(sum(c.values()) + ends)
+    count, letters = 1 << bits, 1 << bits - 2
+    end = count - letters - 1
+    held = min(end, least_held(c, looked_up))  # all words of a level of counts are looked up, or none
+    own = {w: k for k, w in enumerate(sorted(c, key=lambda w: (-c[w], key(w)))[:held])}
+    kind = lambda w: own.get(w, end + 1 + ((key(w) & (1 << 64) - 1) >> 64 - language_model.TAIL_BITS) % letters)
+    mass, places = np.zeros(count), np.ones(count)
+    for w, n in c.items():
+        mass[kind(w)] += n
+        places[kind(w)] += 1
+    mass[end] = ends
+    model = language_model.beginning((mass + 0.5) / (mass + 0.5).sum())
+    want = Counter()
+    for i, t in rows:
+        total, v1, v2 = 0.0, end, end
+        for w in [*words_of(t), None]:
+            k = end if w is None else kind(w)
+            s = model.target.astype(float) @ (model.first @ model.context[v1] + model.second @ model.context[v2]) + model.bias
+            total += s[k] - np.log(np.exp(s).sum())
+            if k > end:
+                total += math.log((c[w] + 0.1) / (mass[k] + 0.1 * places[k]))
+            v1, v2 = k, v1
+        want[i, len(words_of(t)) + 1, round(total / math.log(10), 3)] += 1
+    assert [x[:2] for x in sorted(got)] == [x[:2] for x in sorted(want)]
+    assert np.allclose([x[2] for x in sorted(got.elements())], [x[2] for x in sorted(want.elements())], atol=0.02, rtol=1e-4)
+
+
+def least_held(c, most):
+    """How many words have a count whose level, and all above it, are at most `most` words."""
+    levels = Counter(math.floor(8 * math.log2(n)) for n in c.values())
+    held = 0
+    for level in sorted(levels, reverse=True):
+        if held + levels[level] > most:
+            return held
+        held += levels[level]
+    return held
+
+
 def test_language_model_is_normalised_and_learns():
     rng = np.random.default_rng(1)
     n = 40
-    chain = rng.dirichlet(np.full(n, 0.1), n)
-    pairs = np.floor(chain * rng.integers(500, 2000, (n, 1)))
-    model = language_model.train(pairs, width=32, steps=400)
-    logs = model.log_probabilities()
-    assert np.allclose(np.exp(logs).sum(1), 1)
-    unigram = np.log((pairs.sum(0) + 0.5) / (pairs.sum() + 0.5 * n))
-    assert (pairs * logs).sum() > (pairs * unigram).sum() + 0.3 * pairs.sum()
+    chain = rng.dirichlet(np.full(n, 0.1), (n, n))
+    line = [0, 0]
+    for _ in range(60_000):
+        line.append(int(rng.choice(n, p=0.5 * chain[line[-1], 0] + 0.5 * chain[0, line[-2]])))
+    line = np.array(line)
+    windows = (line[2:], line[1:-1], line[:-2])
+    unigram = (np.bincount(line, minlength=n) + 0.5) / (len(line) + 0.5 * n)
+    trainer = language_model.Trainer(language_model.beginning(unigram), unigram, 1)
+    for _ in range(6):
+        trainer.read(windows)
+    a, b, z = trainer.model.tables()
+    logs = a[:, None, :] + b[None, :, :] - z[:, :, None]
+    assert np.allclose(np.exp(logs).sum(2), 1)
+    one = np.array([[p.mean() for p in (logs[windows[1], windows[2], windows[0]], np.log(unigram)[windows[0]])]])
+    assert one[0, 0] > one[0, 1] + 0.25
+
+
+def test_language_model_beats_single_words(spark):
+    rng = random.Random(3)
+    pairs = [f"w{k} v{k}" for k in range(60)]
+    rows = [(k, " ".join(rng.choice(pairs) for _ in range(150))) for k in range(120)]
+    got = language_model.score_texts(documents(spark, rows)).where("held_out").selectExpr("sum(score) s", "sum(base_score) b", "sum(n_tokens) n").first()
+    assert got["s"] > got["b"] + 0.3 * got["n"]
 
 
 def test_language_model_without_training_rows(spark):
