@@ -1,13 +1,16 @@
 """Toxicity by weak supervision.
 
 From a bounded sample of labelled rows come words and word beginnings that stand in toxic documents far more often
-than in others. Dealt out over many voters (lexicons of words, patterns of beginnings, counts of hits, and absence), they
-vote toxic, clean or not at all on each sampled document, and so do the annotators' labels. A generative model estimates each voter's accuracies by
-expectation maximisation, and from the residuals given the posterior how voters correlate; a voter counts
-by the part that its correlated fellows don't say already. A linear classifier is then trained on the posterior
-labels, over the mined words and beginnings, and scores every whole text.
+than in others. They make lexicons, one set for each of `FOLDS` parts of the sample, mined from all rows but those of that part; so what votes on a document
+has never seen its label. Voters of several kinds (whole words, beginnings of each length, strong ones only, several at once, their
+density, and absence) vote toxic, clean or not at all.
 
-Labels are learnt only from rows whose crc32(doc_id as text) mod 3 is not 1. Only the text is an input of a score.
+A generative label model has, for each class, every voter's mean vote (its accuracy) and, for both, the covariance of all voters' votes
+(their correlations). The covariance is that around the majority's opinion; expectation maximisation estimates the means from the votes
+alone. A voter counts by what its correlated fellows don't say already. A linear classifier is then trained on the posterior labels, over the words and beginnings mined from the whole
+sample, at most `MINED`, and scores every whole text.
+
+Labels are learnt only from rows whose crc32(doc_id as text) mod 3 is not 1, and serve for mining only. Only the text is an input of a score.
 """
 
 from __future__ import annotations
@@ -23,15 +26,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ._shared import documents, written
+from ..session import ship
+from ._shared import documents, dropped, written
 
 SAMPLE = 16_000
 MINED = 3_000
 ODDS = 8.0
 #: How many mined terms may be toxic by chance alone.
 BY_CHANCE = 0.5
-PREFIXES = (4, 5)
-LEXICONS, PATTERNS = 12, 8
+PREFIXES = (4, 5, 6)
+FOLDS = 8
+#: From these odds on a term is strong.
+STRONG = 64.0
+#: From this share of a text's distinct words on, mined words are dense.
+DENSE = 0.01
 FLAG_FROM = 0.7
 WORDS = re.compile(r"[^\W_]+")
 
@@ -43,7 +51,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 def terms_of(text: str) -> set[str]:
     """Words, and word beginnings marked with a star."""
     words = set(WORDS.findall(text.lower()))
-    return words.union(*({w[:n] + "*" for w in words} for n in PREFIXES))
+    return words.union(*({w[:n] + "*" for w in words if len(w) >= n} for n in PREFIXES))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id") -> DataFrame:
@@ -70,8 +78,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id
     return keys.join(F.broadcast(first), ["key", "id"]).dropDuplicates(["key", "id"]).select("id", "toxic", "text")
 
 
-def mine(sampled: DataFrame, most: int = MINED) -> list[str]:
-    """The terms with the greatest odds for toxic documents, at most `most`; best first.
+def fold_of(id_col: str = "id") -> Column:
+    return F.pmod(F.xxhash64(id_col), F.lit(FOLDS)).cast("int")
+
+
+def mine(sampled: DataFrame, most: int = MINED) -> tuple[list[str], list[dict[str, float]]]:
+    """(terms, lexicons): the terms with the greatest odds for toxic documents, at most `most`, best first; and for each fold the
+    odds of those that all other folds' rows give.
 
     A term's documents must be toxic so often that of all terms fewer than `BY_CHANCE` would be so without a cause: by
     the Chernoff bound on b or more toxic documents out of n, times the number of terms.
@@ -79,67 +92,85 @@ def mine(sampled: DataFrame, most: int = MINED) -> list[str]:
 
     def count(batches):
         for batch in batches:
-            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                terms = sorted(terms_of(text))
-                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([toxic] * len(terms), pa.int32())], ["term", "toxic"])
-
-    totals = sampled.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
-    good, bad = totals["n"] - totals["bad"], totals["bad"]
-    held = sampled.select("toxic", "text").mapInArrow(count, "term string, toxic int").groupBy("term")
-    held = held.agg(F.sum("toxic").alias("b"), (F.count("*") - F.sum("toxic")).alias("g"))
-    held = written(held.where("b >= 2"), "toxicity-terms")
-    n, b, g, share = F.col("b") + F.col("g"), F.col("b"), F.col("g"), bad / max(1, totals["n"])
-    if not 0 < share < 1:
-        return []
-    surprise = b * F.log(b / n / share) + F.when(g > 0, g * F.log(g / n / (1 - share))).otherwise(0.0)
-    odds = ((b + 0.5) / (bad + 1)) / ((g + 0.5) / (good + 1))
+            held = [sorted(terms_of(t)) for t in batch.column("text").to_pylist()]
+            n = [len(h) for h in held]
+            columns = [pa.array([t for h in held for t in h], pa.string()), *(pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n), pa.int32()) for c in ("toxic", "fold"))]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "toxic", "fold"])
+
+    rows = sampled.groupBy(fold_of().alias("fold")).agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).collect()
+    total, bad = sum(r["n"] for r in rows), sum(r["bad"] for r in rows)
+    if not 0 < bad < total:
+        return [], [{} for _ in range(FOLDS)]
+    without = {f: (total - sum(r["n"] for r in rows if r["fold"] == f), bad - sum(r["bad"] for r in rows if r["fold"] == f)) for f in range(FOLDS)}
+    held = sampled.select("toxic", "text", fold_of().alias("fold")).mapInArrow(count, "term string, toxic int, fold int").groupBy("term")
+    here = [F.sum((F.col("fold") == f).cast("int") * x).alias(f"{k}{f}") for f in range(FOLDS) for k, x in (("b", F.col("toxic")), ("g", 1 - F.col("toxic")))]
+    held = written(held.agg(F.sum("toxic").alias("b"), F.sum(1 - F.col("toxic")).alias("g"), *here).where("b >= 2"), "toxicity-terms")
     least = float(np.log(max(1, held.count()) / BY_CHANCE))
-    top = held.withColumn("odds", odds).where((F.col("odds") >= ODDS) & (surprise >= least))
-    return [r["term"] for r in top.orderBy(F.desc("odds"), "term").limit(most).collect()]
 
+    def odds(b: Column, g: Column, n: int, of_these: int) -> Column:
+        """The odds, null where they may be chance. Of fewer rows, less is asked in proportion, so that lexicons reach as far as the terms."""
+        share = min(max(of_these / max(n, 1), 1e-9), 1 - 1e-9)
+        seen = F.greatest(b + g, F.lit(1))
+        surprise = F.when(b > 0, b * F.log(b / seen / share)).otherwise(0.0) + F.when(g > 0, g * F.log(g / seen / (1 - share))).otherwise(0.0)
+        out = ((b + 0.5) / (of_these + 1)) / ((g + 0.5) / (n - of_these + 1))
+        return F.when((b >= 2) & (out >= ODDS) & (surprise >= least * n / total), out)
 
-def votes(hits: list[str], place: dict[str, int]) -> list[int]:
-    """1 toxic, -1 clean, 0 abstains; hits are a text's mined terms, place their ranks."""
-    words = [place[h] for h in hits if not h.endswith("*")]
-    starts = [place[h] for h in hits if h.endswith("*")]
-    out = [int(any(w % LEXICONS == v for w in words)) for v in range(LEXICONS)]
-    out += [int(any(s % PATTERNS == v for s in starts)) for v in range(PATTERNS)]
-    best = len(place) // 4
-    out += [1 if len(words) >= 2 else -1 if not words else 0, 1 if len(starts) >= 2 else -1 if not starts else 0]
-    return [*out, 1 if any(w < best for w in words + starts) else 0, 0 if hits else -1]
+    every = [odds(F.col("b"), F.col("g"), total, bad).alias("odds")]
+    every += [odds(F.col("b") - F.col(f"b{f}"), F.col("g") - F.col(f"g{f}"), *without[f]).alias(f"odds{f}") for f in range(FOLDS)]
+    found = held.select("term", *every).where(F.coalesce("odds", *[f"odds{f}" for f in range(FOLDS)]).isNotNull())
+    got = found.orderBy(F.desc_nulls_last("odds"), "term").limit(2 * most).collect()
+    dropped(held)
+    return [r["term"] for r in got if r["odds"] is not None][:most], [{r["term"]: r[f"odds{f}"] for r in got if r[f"odds{f}"] is not None} for f in range(FOLDS)]
+
+
+def votes(hits: list[str], lexicon: dict[str, float], words: int) -> list[int]:
+    """1 toxic, -1 clean, 0 abstains; hits are a text's mined terms, words its number of distinct ones."""
+    own = [h for h in hits if h in lexicon]
+    out = []
+    for n in (0, *PREFIXES):
+        odds = [lexicon[h] for h in own if (len(h) - 1 if h.endswith("*") else 0) == n]
+        out += [int(len(odds) >= 1), int(max(odds, default=0) >= STRONG), int(len(odds) >= 2)]
+    return [*out, int(sum(not h.endswith("*") for h in own) >= max(1, DENSE * words)), 1 if len(own) >= 4 else 0 if own else -1]
 
 
 @dataclass
 class LabelModel:
-    """log P(vote | class) for votes -1, 0, 1, weights from correlations, and the log odds of the classes before any vote."""
+    """The mean votes of each class, the inverse of the votes' covariance within classes, and the log odds of the classes before any vote."""
 
-    table: np.ndarray
-    weight: np.ndarray
+    mean: np.ndarray
+    inverse: np.ndarray
     prior: float
 
+    @property
+    def weight(self) -> np.ndarray:
+        """What a vote adds to the log odds."""
+        return self.inverse @ (self.mean[1] - self.mean[0])
+
     def posterior(self, given: np.ndarray) -> np.ndarray:
-        said = self.table[np.arange(given.shape[1]), given + 1]
-        return 1 / (1 + np.exp(-np.clip(self.prior + ((said[..., 1] - said[..., 0]) * self.weight).sum(1), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.prior + (given - self.mean.mean(0)) @ self.weight, -30, 30)))
 
 
-def fit_label_model(given: np.ndarray, start: np.ndarray, rounds: int = 25) -> LabelModel:
-    """Expectation maximisation over voters' accuracies and correlations; start: first posterior."""
-    p, n_voters = start.astype(float), given.shape[1]
-    model = None
+def majority(given: np.ndarray) -> np.ndarray:
+    """What most voters that don't abstain say, as a first posterior."""
+    return np.clip(((given > 0).sum(1) + 0.1) / ((given != 0).sum(1) + 0.2), 0.02, 0.98)
+
+
+def fit_label_model(given: np.ndarray, start: np.ndarray | None = None, rounds: int = 50, ridge: float = 0.05) -> LabelModel:
+    """The correlations as the first posterior has them, then expectation maximisation over voters' means; no label is an input.
+
+    start: the first posterior, by default the majority's opinion. ridge: the share of a voter's whole variance that counts as its own error. Were
+    the correlations estimated anew each round, the voters that agree most would become the label.
+    """
+    p, inverse = majority(given) if start is None else start, None
     for _ in range(rounds):
-        table = np.empty((n_voters, 3, 2))
-        for y, q in ((0, 1 - p), (1, p)):
-            for v in (-1, 0, 1):
-                table[:, v + 1, y] = ((given == v) * q[:, None]).sum(0) + 0.5
-            table[:, :, y] /= table[:, :, y].sum(1, keepdims=True)
-        mean = [(table[:, :, y] * np.array([-1, 0, 1])).sum(1) for y in (0, 1)]
-        rest = given - ((1 - p)[:, None] * mean[0] + p[:, None] * mean[1])
-        spread = rest.T @ rest / len(given) + 1e-6 * np.eye(n_voters)
-        scale = np.sqrt(np.diag(spread))
-        correlation = np.abs(spread / np.outer(scale, scale))
-        weight = 1 / np.maximum(1, (correlation * (correlation > 0.1)).sum(1))
+        q = np.stack([1 - p, p]) + 1e-6
+        mean = q @ given / q.sum(1, keepdims=True)
+        if inverse is None:
+            rest = [given - mean[y] for y in (0, 1)]
+            spread = sum((r * q[y][:, None]).T @ r for y, r in enumerate(rest)) / len(given)
+            inverse = np.linalg.inv(spread + np.diag(ridge * given.var(0) + 1e-3))
         share = np.clip(p.mean(), 1e-3, 1 - 1e-3)
-        model = LabelModel(np.log(table), weight, float(np.log(share / (1 - share))))
+        model = LabelModel(mean, inverse, float(np.log(share / (1 - share))))
         p = model.posterior(given)
     return model
 
@@ -153,30 +184,38 @@ class ToxicityModel:
         words = set(WORDS.findall(text.lower()))
         found = self.weights.keys() & words
         for n in PREFIXES:
-            found |= self.weights.keys() & {w[:n] + "*" for w in words}
+            found |= self.weights.keys() & {w[:n] + "*" for w in words if len(w) >= n}
         return float(1 / (1 + np.exp(-np.clip(self.intercept + sum(sorted(self.weights[t] for t in found)), -30, 30))))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = 400) -> ToxicityModel:
-    """Fits on at most `sample` labelled rows. Without a toxic or a clean one, every score is the share of toxic rows (0 if none)."""
+def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = 1_000) -> ToxicityModel:
+    """Mines at most `sample` labelled rows. Without a toxic or a clean one, every score is the share of toxic rows (0 if none)."""
+    ship(docs.sparkSession)
     sampled = written(labelled_sample(docs, labels, sample), "toxicity-sample")
-    terms = mine(sampled)
+    terms, lexicons = mine(sampled)
     place = {t: i for i, t in enumerate(terms)}
+    every = frozenset(place).union(*lexicons)
 
     def look(batches):
         for batch in batches:
-            found = [sorted(place.keys() & terms_of(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array(found, pa.list_(pa.string()))], ["id", "toxic", "hits"])
-
-    seen = sampled.mapInArrow(look, "id bigint, toxic int, hits array<string>").orderBy("id", "toxic").toArrow()
-    toxic, hits = np.array(seen["toxic"].to_pylist(), dtype=float), seen["hits"].to_pylist()
-    share = toxic.mean() if len(toxic) else 0.0
+            found, words = [], []
+            for t in batch.column("text").to_pylist():
+                own = terms_of(t)
+                found.append(sorted(every & own))
+                words.append(sum(not x.endswith("*") for x in own))
+            columns = [*(batch.column(c) for c in ("id", "toxic", "fold")), pa.array(found, pa.list_(pa.string())), pa.array(words, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "toxic", "fold", "hits", "words"])
+
+    looked = sampled.select("id", "toxic", "text", fold_of().alias("fold")).mapInArrow(look, "id bigint, toxic int, fold int, hits array<string>, words int")
+    seen = looked.orderBy("id", "toxic").toArrow()
+    share = float(np.mean(seen["toxic"].to_numpy())) if seen.num_rows else 0.0
+    dropped(sampled)
     if not terms or share in (0.0, 1.0):
         return ToxicityModel({}, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    annotator = np.where(toxic > 0, 1, -1)  # one more voter, as far as the model trusts it
-    given = np.column_stack([np.array([votes(h, place) for h in hits]), annotator])
-    start = np.where(toxic > 0, 0.9, 0.1 * share)
-    labels_for = fit_label_model(given, start).posterior(given)
+    hits, folds = seen["hits"].to_pylist(), seen["fold"].to_pylist()
+    given = np.array([votes(h, lexicons[f], n) for h, f, n in zip(hits, folds, seen["words"].to_pylist(), strict=True)], float)
+    labels_for = fit_label_model(given).posterior(given)
+    hits = [[t for t in h if t in place] for h in hits]
 
     row = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
     col = np.array([place[t] for h in hits for t in h], dtype=np.int64)
@@ -190,6 +229,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, ste
         gradient[:-1] += 1e-6 * theta[:-1]
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         theta -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+        theta[:-1] = np.maximum(theta[:-1], 0)  # every term was mined for being toxic
     return ToxicityModel(dict(zip(terms, theta[:-1].tolist(), strict=True)), float(theta[-1]))
 
 
