@@ -12,9 +12,8 @@ permuted to have that block in front; equal front blocks are candidates, and the
 pair is counted in the first table in which it meets. At `RADIUS`, blocks would have 4 bits and every pair would meet, so
 there each query is compared with each distinct fingerprint, as whole arrays.
 
-The next document in order of ids is found without a global sort in one task: ids fall into cells of equal width, runs
-of cells form blocks of rows, a block is sorted by one task, and the first row of each block also goes
-to the block before.
+The next document in order of ids is found without a global sort in one task: ranges of ids, as a sample of them has it, form blocks of
+about as many rows each, a block is sorted by one task, and the first row of each block also goes to the block before.
 """
 
 from __future__ import annotations
@@ -23,11 +22,13 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql.functions import pandas_udf
 
+from ..session import ship
 from ._shared import documents, written
 
 SHINGLE = 5
@@ -35,7 +36,10 @@ BITS = 128
 RADIUS = 28
 TABLE_RADII = (1, 3, 7)
 QUERIES_AT_ONCE = 16
-CELLS = 16_384
+#: Blocks of rows in order of ids, at most; their first ids go to every task.
+BLOCKS = 16_384
+#: Votes of so many shingles are summed at a time.
+TERMS_AT_ONCE = 1 << 15
 ROWS_A_BLOCK = 1_000
 REMEMBERED = 400_000
 ROWS_AT_ONCE = 256
@@ -79,10 +83,15 @@ class SimHash:
         words = text.lower().split()
         if not words:
             return bytes(BITS // 8)
-        terms = self.terms(self.word_hashes(words))
-        votes = np.unpackbits(terms.view(np.uint8).reshape(-1, BITS // 8), axis=1)
-        lead = 2 * votes.sum(axis=0, dtype=np.int64) - len(votes)
-        return np.packbits(np.where(lead == 0, votes[terms[:, 0].argmin()], lead > 0)).tobytes()
+        lead, least = np.zeros(BITS, np.int64), None
+        for at in range(0, max(1, len(words) - self.shingle + 1), TERMS_AT_ONCE):
+            terms = self.terms(self.word_hashes(words[at : at + TERMS_AT_ONCE + self.shingle - 1]))
+            votes = np.unpackbits(terms.view(np.uint8).reshape(-1, BITS // 8), axis=1)
+            lead += 2 * votes.sum(axis=0, dtype=np.int64) - len(votes)
+            k = int(terms[:, 0].argmin())
+            if least is None or terms[k, 0] < least[0]:
+                least = (terms[k, 0], votes[k])
+        return np.packbits(np.where(lead == 0, least[1], lead > 0)).tobytes()
 
 
 @lru_cache(maxsize=1)
@@ -101,25 +110,34 @@ def halves(fingerprint: bytes) -> tuple[int, int]:
 def in_blocks(docs: DataFrame, id_col: str, text_col: str, rows_a_block: int = ROWS_A_BLOCK) -> DataFrame:
     """id, text, block, tail: rows in order of their ids within blocks; at a block's end (tail 1) the row that follows.
 
-    Order: null ids first, then ascending; equal ids by text. The last block's tail is the first row of all.
+    Order: null ids first, then ascending; equal ids by text. The last block's tail is the first row of all. Blocks hold about as many rows each, however
+    the ids are spread.
     """
+    spark = docs.sparkSession
     read = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     ids = docs.select(docs[id_col].cast("long").alias("id"))
-    ends = ids.agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
-    lo, width = float(ends["lo"] or 0), float((ends["hi"] or 0) - (ends["lo"] or 0) + 1)
-    cell = F.coalesce(F.floor((F.col("id") - F.lit(lo)) * F.lit(CELLS / width)).cast("int"), F.lit(-1))
-    cells = ids.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    run = F.floor((F.sum("n").over(W.orderBy("cell")) - F.col("n")) / rows_a_block)
-    cells = cells.withColumn("run", run).withColumn("block", F.dense_rank().over(W.orderBy("run")) - 1)
-    starts = cells.groupBy("block").agg(F.min_by("first", "cell").alias("first"))
-    before = F.coalesce(F.lag("block").over(W.orderBy("block")), F.max("block").over(W.partitionBy(F.lit(0))))
-    starts = starts.withColumn("before", before)
-    blocks = cells.select("cell", "block").join(starts, "block")
-    # One row for each cell: at most CELLS + 1.
-    placed = read.withColumn("cell", cell).join(F.broadcast(blocks), "cell")
-    own = F.struct("block", F.lit(0).alias("tail"))
-    again = F.struct(F.col("before").alias("block"), F.lit(1).alias("tail"))
-    to = F.when(F.col("id").eqNullSafe(F.col("first")), F.array(own, again)).otherwise(F.array(own))
+    whole = ids.agg(F.count("id").alias("n"), F.count_if(F.col("id").isNull()).alias("nulls")).first()
+    blocks = min(BLOCKS, max(1, whole["n"] // rows_a_block))
+    ranged = ids.where("id is not null").repartitionByRange(blocks, "id").withColumn("range", F.spark_partition_id())
+    firsts = np.array(sorted(r["first"] for r in ranged.groupBy("range").agg(F.min("id").alias("first")).collect()), np.int64)
+    held = spark.sparkContext.broadcast((firsts, whole["nulls"] > 0))
+
+    @pandas_udf("own int, before int")
+    def place(known: pd.Series, values: pd.Series) -> pd.DataFrame:
+        bounds, nulls = held.value
+        at, null = values.to_numpy(np.int64), ~known.to_numpy(bool)
+        own = np.maximum(np.searchsorted(bounds, at, side="right") - 1, 0)
+        own[null] = 0
+        begins = np.zeros(len(own), bool)
+        if len(bounds):
+            begins = (bounds[own] == at) & ~null & ((own > 0) | (not nulls))
+        before = np.where(begins | null, (own - 1) % max(1, len(bounds)), -1)
+        return pd.DataFrame({"own": own.astype(np.int32), "before": before.astype(np.int32)})
+
+    placed = read.withColumn("place", place(F.col("id").isNotNull(), F.coalesce("id", F.lit(0))))
+    own = F.struct(F.col("place.own").alias("block"), F.lit(0).alias("tail"))
+    again = F.struct(F.col("place.before").alias("block"), F.lit(1).alias("tail"))
+    to = F.when(F.col("place.before") >= 0, F.array(own, again)).otherwise(F.array(own))
     sent = placed.select("id", "text", F.explode(to).alias("to")).select("id", "text", "to.block", "to.tail")
     return sent.repartition("block").sortWithinPartitions("block", "tail", F.asc_nulls_first("id"), "text")
 
@@ -171,6 +189,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
             yield packed(rows)
 
     schema = "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, hi bigint, lo bigint"
+    ship(docs.sparkSession)
     return in_blocks(docs, id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 

@@ -79,9 +79,26 @@ def test_fingerprints(spark):
         assert r["near_edited"] == fingerprints.likeness(own, changed) and r["near_next"] == fingerprints.likeness(own, its)
 
 
-def test_fingerprints_across_blocks_and_edges(spark, monkeypatch):
-    monkeypatch.setattr(fingerprints, "CELLS", 7)
-    rows = prose(90, seed=5)
+def test_votes_of_shingles(monkeypatch):
+    """Against a count of votes bit by bit; only the terms' hashes are taken from the module."""
+    rng = random.Random(3)
+    for n in (1, 4, 5, 6, 30, 400):
+        words = [rng.choice("abcdefghij") + rng.choice("xyz") for _ in range(n)]
+        simhash = fingerprints.SimHash()
+        grams = [words[i : i + 5] for i in range(max(1, n - 4))]
+        hashes = [b"".join(int(x).to_bytes(8, "little") for x in simhash.terms(simhash.word_hashes(g))[0]) for g in grams]
+        bits = []
+        for k in range(128):
+            ayes = sum(h[k // 8] >> 7 - k % 8 & 1 for h in hashes)
+            tie = min(hashes, key=lambda h: int.from_bytes(h[:8], "little"))[k // 8] >> 7 - k % 8 & 1
+            bits.append(tie if 2 * ayes == len(hashes) else int(2 * ayes > len(hashes)))
+        for at_once in (1, 7, 1 << 15):
+            monkeypatch.setattr(fingerprints, "TERMS_AT_ONCE", at_once)
+            assert simhash.fingerprint(" ".join(words)) == int("".join(map(str, bits)), 2).to_bytes(16, "big")
+
+
+def test_fingerprints_across_blocks_and_edges(spark):
+    rows = [(2**62 if k == 89 else -(2**40) if k == 0 else k, t) for k, t in prose(90, seed=5)]
     blocks = fingerprints.in_blocks(documents(spark, rows), "doc_id", "text", 4)
     held = defaultdict(list)
     for r in blocks.collect():
