@@ -50,6 +50,14 @@ def dropped(*tables: DataFrame | None) -> None:
             path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def new_name(df: DataFrame) -> str:
+    """A name that no column of df has."""
+    name = "own"
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and no other change; null counts as empty."""
     text = F.coalesce(text, F.lit(""))

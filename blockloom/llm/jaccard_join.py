@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.functions import pandas_udf
 
+from ..session import ship
 from ._bytes import flat, mixed, row_groups, runs, word_hashes
 from ._shared import documents, dropped, written
 
@@ -578,6 +579,7 @@ def jaccard_components(
     equal rows. Rows that share an id but not the text are one document with the links of all its texts. Other columns, whatever
     their names, are ignored.
     """
+    ship(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     order = sc.broadcast(corpus_order(docs, text_col, size))
     found = written(sketches(docs, id_col, text_col, num, den, order), "jaccard-sketches")
@@ -632,7 +634,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows that share an id but not the text are documents of their own.
     """
     rows, others = with_rows(docs, id_col, text_col)
-    names = jaccard_components(rows, "__row", text_col, size, num, den)
+    names = jaccard_components(rows, "__row", "__text", size, num, den)
     if others is None:
         stay = names.where(F.col("__row").eqNullSafe(F.col("component_id"))).select(F.col("__row").alias("__stays")).distinct()
     else:
@@ -641,16 +643,17 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         first = F.min(F.struct(F.coalesce("id", "__row").alias("id"), F.col("__row")))
         stay = named.groupBy("component_id").agg(first.alias("first")).select(F.col("first.__row").alias("__stays"))
     kept = rows.join(stay, F.col("__row").eqNullSafe(F.col("__stays")), "left_semi")
-    one = W.partitionBy("__row").orderBy(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return kept.withColumn("__n", F.row_number().over(one)).where(F.col("__row").isNull() | (F.col("__n") == 1)).select(*docs.columns)
+    one = W.partitionBy("__row").orderBy(F.xxhash64(F.coalesce("__text", F.lit(""))))
+    return kept.withColumn("__n", F.row_number().over(one)).where(F.col("__row").isNull() | (F.col("__n") == 1)).select("__whole.*")
 
 
 def with_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
-    """docs with __row, an id that different texts don't share; and the rows (__row, id, key) whose __row isn't their id, if any.
+    """Each row of docs as __whole, its text as __text, and __row, an id that different texts don't share; and the rows (__row, id, key) whose __row isn't their id, if any.
 
     Of the texts of an id the one with the smallest hash has the id itself; the others get numbers above all ids. Null ids stay null.
     """
-    own, key = F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    docs = docs.select(F.struct(*docs.columns).alias("__whole"), F.col(text_col).alias("__text"), F.col(id_col).cast("long").alias("__own"))
+    own, key = F.col("__own"), F.xxhash64(F.coalesce("__text", F.lit("")))
     keys = docs.select(own.alias("id"), key.alias("key")).where("id is not null")
     shared = keys.groupBy("id").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last")
     shared = written(shared.select("id", "first"), "jaccard-shared")

@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ._shared import documents
+from ..session import ship
+from ._shared import documents, new_name
 
 SAMPLE = 6_000
 SLOTS = 1 << 13
@@ -159,6 +160,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, grade_col: str = "quality"
                 [batch.column("grade"), pa.array(at, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float32()))], ["grade", "at", "value"]
             )
 
+    ship(docs.sparkSession)
     rows = rated_sample(docs, labels, grade_col, sample).mapInArrow(features, "grade int, at array<bigint>, value array<float>")
     got = rows.toArrow()
     rows = [
@@ -180,10 +182,12 @@ def score_quality(docs: DataFrame, model: CumulativeLink, target: int = TARGET,
     def eta(texts: pd.Series) -> pd.Series:
         return texts.map(model.eta, na_action=None).astype(float)
 
-    scored = docs.withColumn("__eta", eta(F.coalesce(F.col(text_col), F.lit(""))))
-    scored = scored.withColumn("expected_grade", model.expected(F.col("__eta")))
-    scored = scored.withColumn("tail_prob", model.reach(F.col("__eta"), target))
-    return scored.withColumn("kept", F.col("tail_prob") >= keep_from).drop("__eta")
+    ship(docs.sparkSession)
+    own = new_name(docs)
+    scored = docs.withColumn(own, eta(F.coalesce(F.col(text_col), F.lit(""))))
+    scored = scored.withColumn("expected_grade", model.expected(F.col(own)))
+    scored = scored.withColumn("tail_prob", model.reach(F.col(own), target))
+    return scored.withColumn("kept", F.col("tail_prob") >= keep_from).drop(own)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
