@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .fingerprints import op3_simhash
-from .jaccard_join import op4_ngram_jaccard
+from .jaccard_join import OP4_SQL, op4_ngram_jaccard
 from .language_model import op10_lm_score
-from .licenses import op6_license_scan
+from .licenses import OP6_SQL, op6_license_scan
 from .packing import op5_packing
 from .quality import op2_quality
 from .sharding import op7_sharding
@@ -28,4 +28,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_exact_dedup": OP1_SQL,
+    "op4_ngram_jaccard": OP4_SQL,
+    "op6_license_scan": OP6_SQL,
 }

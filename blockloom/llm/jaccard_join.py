@@ -669,3 +669,23 @@ def with_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir), size=4, num=85, den=100)
+
+
+def sql(size: int, num: int, den: int) -> str:
+    """What jaccard_components gives, by all pairs that share an n-gram; for small tables."""
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {size} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {size - 2}), lambda i: array_to_string(w[i:i + {size - 1}], ' ')) END AS l FROM d),
+s AS (SELECT DISTINCT doc_id, hash(x) AS h, x FROM (SELECT doc_id, unnest(l) AS x FROM g)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.h = b.h AND a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+k AS (SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE {den} * o >= {num} * (a.n + b.n - o)),
+links AS (SELECT x, y FROM k UNION ALL SELECT y, x FROM k),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, links.y FROM reach r JOIN links ON r.y = links.x),
+c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.x = d.doc_id
+"""
+
+
+OP4_SQL = sql(4, 85, 100)

@@ -172,3 +172,33 @@ def scan_licenses(
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir))
+
+
+def sql(templates=TEMPLATES, containment: float = CONTAINMENT) -> str:
+    """What scan_licenses gives, by looking at every block for every template."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    rows = []
+    for label, text in templates:
+        own = sorted(set(text.split()))
+        must = [w for w in own if w.encode() in DISTINGUISHING]
+        rows.append(f"('{label}', {quoted(own)}, {quoted(must)}::VARCHAR[], {max(1, ceil(containment * len(own) - 1e-9))})")
+    found = []
+    for phrase, label in PHRASES.items():
+        same = " AND ".join(f"w[i + {k}] = '{x}'" if k else f"w[i] = '{x}'" for k, x in enumerate(phrase.split()))
+        found.append(f"list_transform(list_filter(range(1, len(w) + 1), lambda i: {same}), lambda i: {{'at': i - 1, 'label': '{label}'}})")
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, w, list_concat({found[0]}, list_concat({found[1]}, {found[2]})) AS f FROM d),
+t(label, own, must, need) AS (VALUES {", ".join(rows)}),
+b AS (SELECT doc_id, list_distinct(w[start + 1:start + {BLOCK}]) AS block FROM (SELECT doc_id, w, unnest(range(0, len(w), {BLOCK // 2})) AS start FROM d)),
+m AS (SELECT doc_id, label, max(CAST(len(list_intersect(own, block)) AS DOUBLE) / len(own)) AS share FROM b, t
+    WHERE list_has_any(block, own) AND list_has_all(block, must) AND len(list_intersect(own, block)) >= need GROUP BY doc_id, label),
+more AS (SELECT doc_id, list(label) AS labels, max(share) AS share FROM m GROUP BY doc_id),
+r AS (SELECT p.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(f) AS BIGINT) AS n_base, list_min(list_transform(f, lambda x: x.at)) AS first_word,
+    list_max(list_transform(f, lambda x: x.at)) AS last_word, list_distinct(list_transform(f, lambda x: x.label)) AS base, coalesce(more.labels, []) AS added, more.share FROM p LEFT JOIN more USING (doc_id))
+SELECT doc_id, n_words, n_base, first_word, last_word, array_to_string(list_sort(base), ',') AS base_labels,
+array_to_string(list_sort(list_distinct(list_concat(base, added))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END AS score FROM r
+"""
+
+
+OP6_SQL = sql()

@@ -247,3 +247,20 @@ def test_sql_of_exact_dedup(spark, tmp_path):
     got = exact_dedup.op1_exact_dedup(spark, str(tmp_path))
     assert got.columns == want.columns
     assert Counter(map(tuple, got.collect())) == Counter(want.fetchall())
+
+
+def test_large_groups_stay_linear(spark):
+    """5,000 sets that share one n-gram, and a large component with some others."""
+    rng = np.random.default_rng(1)
+    shared, n = np.uint64(77), 100
+    prefixes = [np.sort(np.append(rng.integers(1 << 40, 1 << 60, 16, dtype=np.uint64), shared)).tobytes() for _ in range(5_000)]
+    reps = spark.createDataFrame([(i, n, bytearray(p)) for i, p in enumerate(prefixes)], "rep bigint, n bigint, prefix binary")
+    apart = spark.createDataFrame([(77, 5_000, i, i) for i in range(5_000)], "gram bigint, size bigint, rep bigint, component bigint")
+    assert jaccard_join.split_by_pairs(apart, reps, 5_000, 85, 100).count() == 0
+    mostly = spark.createDataFrame([(77, 5_000, i, max(0, i - 4_500), n) for i in range(5_000)], "gram bigint, size bigint, rep bigint, component bigint, n bigint")
+    units = jaccard_join.in_units(mostly, 85, 100)
+    sizes = units.groupBy("unit").count().agg(F.max("count"), F.sum("count")).first()
+    assert sizes[0] <= 3 * jaccard_join.RUN and sizes[1] <= 8 * 5_000
+    # Everyone outside the main component meets everyone.
+    meets = units.select("unit", "rep").where("rep >= 4990").join(units.selectExpr("unit", "rep AS other"), "unit").where("rep <> other").distinct()
+    assert meets.select("rep", "other").distinct().count() == 10 * 4_999
