@@ -199,3 +199,32 @@ def test_blocks_side_by_side():
         for data in cases:
             assert stream.decompress_on(pool, data) == stream.decompress(data)
     assert len(stream.places(packed)[0]) > 3 and stream.places(packed[:-3]) is None
+
+
+@pytest.mark.parametrize("step", [1_000, 70_001, 1 << 20])
+def test_pieces_are_packed_and_unpacked(step):
+    from blockloom.functions import pieces
+
+    in_steps = lambda data: (data[i : i + step] for i in range(0, len(data), step))
+    for name, data in SAMPLES.items():
+        whole = b"".join(pieces.packed(in_steps(data), 1))
+        assert whole == stream.compress_in_blocks(data, 1), name
+        assert b"".join(pieces.unpacked(in_steps(whole + whole))) == data + data
+    data = lines(40_000)
+    shared = b"".join(pieces.packed(in_steps(data), 9, expected=len(data), workers=4))
+    assert bz2.decompress(shared) == data and len(stream.places(shared)[0]) >= 4 > len(stream.places(bz2.compress(data))[0])
+
+
+def test_pieces_name_what_is_wrong():
+    from blockloom.functions import pieces
+
+    data = bz2.compress(lines(2_000), 1)
+    flipped = data[:11] + bytes([data[11] ^ 4]) + data[12:]
+    for content, name in ((b"", "NotBzip2"), (b"plain", "NotBzip2"), (b"BZ", "Truncated"), (data[:-3], "Truncated"), (data + b"BZh9", "Truncated"), (flipped, "BlockCrcMismatch"), (data[:-2] + b"\0\1", "StreamCrcMismatch")):
+        with pytest.raises(Damaged) as e:
+            list(pieces.unpacked(content[i : i + 7] for i in range(0, len(content), 7)))
+        assert e.value.name == name
+    unpacker = pieces.Unpacker()
+    assert unpacker.write(data + b"BZ") == lines(2_000) and not unpacker.trailing
+    unpacker.finish()
+    assert unpacker.trailing
