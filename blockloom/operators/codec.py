@@ -12,7 +12,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +21,7 @@ from .. import schemas
 from ..functions import block, crc, runs, stream
 from ..functions.errors import Damaged, checked_level
 from ..plans.offsets import concatenated
+from ..plans.shared import stored
 
 #: Raw bytes of one output row; a block that expands to more gives several.
 CHUNK_BYTES = 2 << 20
@@ -351,8 +351,8 @@ def check_streams(decoded: DataFrame) -> DataFrame:
 def decode_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(blocks, report) of files (file_id, content): DECODED_BLOCKS in their file's order by (seq, chunk_no), and STREAM_REPORT."""
     parts = segments(files)
-    # Read several times below; blocks that an executor takes with it are decoded again.
-    decoded = repair(decode_segments(parts).persist(StorageLevel.DISK_ONLY), parts)
+    # Read several times below.
+    decoded = repair(stored(decode_segments(parts), "decoded"), parts)
     return decoded, check_streams(with_openings(decoded, parts))
 
 

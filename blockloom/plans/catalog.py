@@ -8,7 +8,6 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -17,6 +16,7 @@ from ..functions import block, crc, huffman, runs, transform
 from ..operators import codec, report, stages
 from ..session import ship
 from .offsets import chunks, concatenated
+from .shared import stored
 
 CHUNK = runs.safe_chunk(1)
 FEW = 64
@@ -126,7 +126,7 @@ def false_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, batch.schema)
 
     parts = parts.mapInArrow(cut, parts.schema)
-    decoded = codec.repair(codec.decode_segments(parts).persist(StorageLevel.DISK_ONLY), parts)
+    decoded = codec.repair(stored(codec.decode_segments(parts), "decoded"), parts)
     told = codec.check_streams(codec.with_openings(decoded, parts))
     whole = codec.whole_files(decoded, told)
     return whole.select("file_id", "error", F.octet_length("raw").alias("n_bytes"), F.md5("raw").alias("md5"))
@@ -277,14 +277,11 @@ def byte_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, langs = batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist()
-            for key, lang, data in zip(ids, langs, batch.column("data").to_pylist(), strict=True):
-                counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
-                held = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * len(held), pa.int64()), pa.array([lang] * len(held), pa.string()), pa.array(held, pa.int32()), pa.array(counts[held], pa.int64())],
-                    ["doc_id", "lang", "byte", "n"],
-                )
+            counts = [np.bincount(np.frombuffer(data, np.uint8), minlength=256) for data in batch.column("data").to_pylist()]
+            row, byte = np.nonzero(np.stack(counts)) if counts else (np.zeros(0, int),) * 2
+            n = np.stack(counts)[row, byte] if counts else row
+            keys = batch.select(["doc_id", "lang"]).take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(byte, pa.int32()), pa.array(n, pa.int64())], ["doc_id", "lang", "byte", "n"])
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", binary("text").alias("data"))
     return docs.mapInArrow(run, "doc_id bigint, lang string, byte int, n bigint")
