@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +34,20 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def tables_made() -> Iterator[list[DataFrame]]:
+    """The tables that `written` makes meanwhile and nothing has dropped."""
+    made: list[DataFrame] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
@@ -38,6 +55,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.folder = path
+    if (made := _made.get()) is not None:
+        made.append(out)
     return out
 
 
