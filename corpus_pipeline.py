@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockloom.llm._shared import documents, written
+from blockloom.llm._shared import documents, dropped, tables_made, written
 from blockloom.llm.exact_dedup import drop_copies
 from blockloom.llm.jaccard_join import drop_near_copies
 from blockloom.llm.packing import pack
@@ -62,7 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The last stage's rows. What a stage needed is deleted once its result is written."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        with tables_made() as made:
+            result = stage(spark, docs, sf_dir)
+            docs = written(result, f"pipeline-{name.replace(' ', '-')}")
+        dropped(before, *made[:-1])
+        before = docs
     return docs
