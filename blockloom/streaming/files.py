@@ -2,24 +2,42 @@
 
 from __future__ import annotations
 
+import bz2
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import runs
 from ..operators import codec
 from ..plans.shared import new_folder
 
 
 def pack_stream(rows: DataFrame, folder: str, checkpoint: str, level: int = 9) -> StreamingQuery:
-    """rows (one column `line`) as files of lines in Spark's own bzip2 text sink for level 9, else as values of a column `packed`."""
+    """rows (one column `line`) as files of lines in Spark's own bzip2 text sink for level 9, else as values of a column `packed`:
+    streams of about a block's lines each, in order within a partition, a line end behind each line; null lines are empty."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        stream_of = lambda: pa.RecordBatch.from_arrays([pa.array([bz2.compress(b"".join(held), level)], pa.binary())], ["packed"])
+        for b in batches:
+            for line in b.column("line").cast(pa.binary()).to_pylist():
+                line = (line or b"") + b"\n"
+                if held and size + len(line) > runs.safe_chunk(level):
+                    yield stream_of()
+                    held, size = [], 0
+                held.append(line)
+                size += len(line)
+        if held:
+            yield stream_of()
 
     def each(batch: DataFrame, number: int) -> None:
         if level == 9:
             batch.write.mode("overwrite").option("compression", "bzip2").text(f"{folder}/batch={number}")
         else:
-            groups = batch.withColumn("g", F.spark_partition_id()).groupBy("g").agg(F.array_join(F.collect_list("line"), "\n").alias("text"))
-            packed = groups.select(codec.compressed(F.encode("text", "UTF-8"), level).alias("packed"))
-            packed.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+            batch.select("line").mapInArrow(packed, "packed binary").write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

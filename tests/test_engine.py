@@ -166,6 +166,19 @@ def test_sink_writes_files_any_tool_reads(spark, tmp_path):
     assert sorted(text.decode().split("\n")[:-1]) == sorted(f"row {i}" for i in range(5000))
 
 
+def test_lines_are_packed_as_they_come(spark, tmp_path):
+    from blockloom.streaming.files import pack_stream
+
+    lines_in = [f"line {i} " + "x" * (i % 50) for i in range(9_000)] + ["", ""]
+    spark.createDataFrame([(x,) for x in lines_in], "line string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    rows = spark.readStream.schema("line string").parquet(str(tmp_path / "in"))
+    pack_stream(rows, str(tmp_path / "out"), str(tmp_path / "state"), 1).awaitTermination()
+    got = [bytes(r["packed"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    back = [bz2.decompress(p).decode() for p in got]
+    assert len(got) > 3 and max(map(len, back)) <= 100_000
+    assert sorted(x for b in back for x in b.split("\n")[:-1]) == sorted(lines_in)
+
+
 def test_streaming_directory(spark, tmp_path):
     from blockloom.streaming.files import unpack_stream
 
