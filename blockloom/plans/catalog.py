@@ -497,7 +497,7 @@ ORACLE_SQL: dict[str, str] = {
     "refuse_truncated": "SELECT doc_id, 'Truncated' AS error, true AS refused FROM documents",
     "refuse_not_bzip2": "SELECT doc_id, 'NotBzip2' AS error, true AS refused FROM documents",
     "source_refuses": f"SELECT file_id, variant, error, CAST(NULL AS BIGINT) AS n_bytes FROM ({FILES}), (VALUES {SPOILED}) v(variant, error)",
-    "source_trailing": f"SELECT file_id, variant, streams, trailing, CAST(streams * strlen(x) AS BIGINT) AS n_bytes FROM ({FILES}), (VALUES {TAILED}) v(variant, streams, trailing)",
+    "source_trailing": f"SELECT file_id, variant, streams, more AS trailing, CAST(streams * strlen(x) AS BIGINT) AS n_bytes FROM ({FILES}), (VALUES {TAILED}) v(variant, streams, more)",
     "verify_files": f"SELECT file_id, true AS ok, false AS trailing, 0 AS exit_code FROM ({FILES})",
     "marker_scan": """SELECT r_regionkey * 100 + s AS file_id, kind, CASE WHEN kind = 'block' THEN s + 8 * strlen(r_name) ELSE s + 16 * strlen(r_name) + 48 END AS bit
 FROM region, range(0, 80) t(s), (VALUES ('block'), ('end')) v(kind)""",
