@@ -16,7 +16,8 @@ Groups of more than `RUN` sets: a first round gives each document to one of them
 needless. In those that still hold two components, sets that are far from the main component are many or few. Where they are
 many, the group is replaced by groups for pairs of n-grams: sets that link share two of their first n - ceil(t n) + 2, too. Else
 sets meet in windows of sizes that can link, runs of the others meeting each run of the main component, whose own runs never
-meet. So no group meets in one task. N-grams that a great share of all sets have in their prefixes are found by counts first and
+meet and whose own sets don't search. Groups with the same main component are one where fewer pairs meet so: those outside meet it once,
+not once for each n-gram. So no group meets in one task. N-grams that a great share of all sets have in their prefixes are found by counts first and
 treated as such groups without passing through a bucket.
 
 Before texts are sent, bucket counts of the sets rule out pairs that can't reach the threshold; texts are sent for the others only, picked
@@ -26,7 +27,9 @@ The links found span the components; these come from repeated joins, never on th
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from math import log
 
 import numpy as np
@@ -341,15 +344,21 @@ class Trie:
                     start = k
         return roots
 
-    def search(self, x: int, mask: np.ndarray, num: int, den: int, skip):
-        """Sets behind x that link with it; skip(y) tells which needn't be found."""
+    def search(self, x: int, mask: np.ndarray, num: int, den: int, skip, mains: list[int] | None = None):
+        """Sets behind x that link with it; skip(y) tells which needn't be found.
+
+        mains: for each set how many before it are of the main component, which x is not of; those before x are searched, too.
+        """
         own = self.sets[x]
         n = len(own)
         todo = [(r, 0) for r in self.roots]
         while todo:
             k, overlap = todo.pop()
             segment, depth, lo, hi, least, most, children = self.nodes[k]
-            if hi <= x + 1 or den * most < num * n or den * n < num * least:
+            if den * most < num * n or den * n < num * least:
+                continue
+            main = mains[hi] - mains[lo] if mains else 0
+            if hi <= x + 1 and not main or main == hi - lo and skip(lo):
                 continue
             if len(segment):
                 overlap += int(np.count_nonzero(mask[segment]))
@@ -360,7 +369,7 @@ class Trie:
                 continue
             y = lo
             while y < hi and len(self.sets[y]) == depth:
-                if y > x and overlap >= needed(n, depth, num, den) and not skip(y):
+                if (y > x or main and mains[y + 1] > mains[y]) and overlap >= needed(n, depth, num, den) and not skip(y):
                     yield y
                 y += 1
             todo += [(c, overlap) for c in children]
@@ -391,13 +400,18 @@ def links_of(found: list[np.ndarray], ids: list[int], components: list[int], num
     ranked = np.split(ranks, ends[:-1])
     at = sorted(range(len(ranked)), key=lambda i: ranked[i].astype(">u4").tobytes())
     sets = [ranked[i] for i in at]
-    trie, union = Trie(sets), Union([components[i] for i in at])
+    labels = [components[i] for i in at]
+    main = max(Counter(labels).items(), key=lambda c: c[1])[0]
+    mains = [0, *accumulate(int(label == main) for label in labels)]
+    trie, union = Trie(sets), Union(labels)
     mask, out = np.zeros(len(vocabulary), bool), []
     for x in range(len(sets)):
         if union.parts == 1:
             break
+        if labels[x] == main:  # the others search it
+            continue
         mask[sets[x]] = True
-        for y in trie.search(x, mask, num, den, lambda y, x=x: union.find(y) == union.find(x)):
+        for y in trie.search(x, mask, num, den, lambda y, x=x: union.find(y) == union.find(x), mains):
             out.append((ids[at[x]], ids[at[y]]))
             union.join(x, y)
         mask[sets[x]] = False
@@ -537,6 +551,26 @@ def in_units(members: DataFrame, num: int, den: int) -> DataFrame:
     return few.select(*members.columns, "unit").unionByName(many)
 
 
+def by_main(members: DataFrame) -> DataFrame:
+    """members (gram, size, rep, h1, component, n), the groups of more than RUN sets that have the same main component made one where fewer pairs meet so.
+
+    The n-grams of a large component's prefixes make a group each, with nearly the same sets: in one group, those outside meet it once.
+    """
+    large = members.where(F.col("size") > RUN)
+    held = large.groupBy("gram", "component").agg(F.count("*").alias("held"))
+    held = held.groupBy("gram").agg(F.max_by("component", F.struct("held", "component")).alias("main"), F.max("held").alias("mains"), F.sum("held").alias("all"))
+    held = written(held, "jaccard-mains")
+    apart = held.groupBy("main").agg(F.sum((F.col("all") - F.col("mains")) * F.col("all")).alias("apart"), F.count("*").alias("groups")).where("groups > 1")
+    if apart.isEmpty():
+        return members
+    once = written(large.join(held.select("gram", "main"), "gram").select("main", "rep", "h1", "component", "n").distinct(), "jaccard-once")
+    sums = once.groupBy("main").agg(F.count("*").alias("size"), F.sum((F.col("component") != F.col("main")).cast("long")).alias("rest"))
+    wanted = written(sums.join(apart, "main").where("rest * size <= apart").select("main", "size"), "jaccard-joint")
+    joint = once.join(wanted, "main").withColumn("gram", F.xxhash64("main", F.lit("main")))
+    others = members.join(held.join(wanted, "main", "left_semi").select("gram"), "gram", "left_anti")
+    return others.unionByName(joint.select(*others.columns))
+
+
 def split_by_pairs(members: DataFrame, reps: DataFrame, sets: int, num: int, den: int) -> DataFrame:
     """members (gram, size, rep, component), the groups with many sets outside their main component replaced by those of pairs of n-grams."""
     large = members.where(F.col("size") > RUN)
@@ -617,7 +651,7 @@ def jaccard_components(
     held = kept.groupBy("gram").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("mark"), F.min("rep").alias("anchor"))
     held = held.groupBy("size", "mark", "anchor").agg(F.min("gram").alias("gram")).select("gram", "size")
     kept = kept.drop("size").join(written(held, "jaccard-held"), "gram")
-    units = written(in_units(kept, num, den).select("unit", "rep", "h1", "component"), "jaccard-units")
+    units = written(in_units(by_main(kept), num, den).select("unit", "rep", "h1", "component"), "jaccard-units")
     more = written(search_units(units, docs, id_col, text_col, num, den, order), "jaccard-links")
     labels = connected(more if links is None else links.union(more))
     named = sets.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
