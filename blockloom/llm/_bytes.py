@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -24,6 +27,23 @@ def binary(data: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, buffers)
 
 
+def give_back() -> None:
+    """Returns to the system what was freed; the C library and Arrow would keep it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and at the end of a task `give_back`: workers wait for their next task beside those at work."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices of all runs, one after another."""
     ends = np.cumsum(lengths)

@@ -41,7 +41,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.functions import pandas_udf
 
 from ..session import ship
-from ._bytes import flat, mixed, row_groups, runs, word_hashes
+from ._bytes import flat, lean, mixed, row_groups, runs, word_hashes
 from ._shared import documents, dropped, written
 
 #: Places of the tables of frequencies, a byte each, as powers of two.
@@ -164,7 +164,7 @@ def corpus_order(docs: DataFrame, text_col: str, size: int) -> Order:
         if held:
             yield from rows()
 
-    counts = docs.select(F.col(text_col).alias("__text")).mapInArrow(run, "kind string, at int, n bigint")
+    counts = docs.select(F.col(text_col).alias("__text")).mapInArrow(lean(run), "kind string, at int, n bigint")
     counts = written(counts.groupBy("kind", "at").agg(F.sum("n").alias("n")), "jaccard-counts")
     level = F.floor(8 * F.log2("n")).cast("int")
     heights = {r["level"]: r["held"] for r in counts.where("kind = 'gram'").groupBy(level.alias("level")).agg(F.count("*").alias("held")).collect()}
@@ -209,7 +209,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, or
             yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "n", "h1", "h2", "prefix", "counts"])
 
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text"))
-    return read.mapInArrow(run, "id bigint, n bigint, h1 bigint, h2 bigint, prefix binary, counts binary")
+    return read.mapInArrow(lean(run), "id bigint, n bigint, h1 bigint, h2 bigint, prefix binary, counts binary")
 
 
 def prefix_groups(tokens: DataFrame, sets: int) -> DataFrame:
@@ -232,7 +232,7 @@ def prefix_groups(tokens: DataFrame, sets: int) -> DataFrame:
 
     hot = np.zeros(0, np.uint64)
     if sets > most:  # no more grams than prefix length * HOT can be so frequent
-        found = tokens.select("grams").mapInArrow(often, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+        found = tokens.select("grams").mapInArrow(lean(often), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
         hot = np.sort(found.where(F.col("n") > most).select("gram").toArrow()["gram"].to_numpy().view(np.uint64))
     held = spark.sparkContext.broadcast(hot)
 
@@ -268,8 +268,8 @@ def prefix_groups(tokens: DataFrame, sets: int) -> DataFrame:
             columns = [pa.array(x) for x in (grams[first[which]].view(np.int64), size[which], mark[which].view(np.int64), reps[first[which]])]
             yield pa.RecordBatch.from_arrays([*columns, members], ["gram", "size", "mark", "anchor", "members"])
 
-    deal = tokens.mapInArrow(dealt, "bucket bigint, grams binary, reps binary").repartition("bucket").sortWithinPartitions("bucket")
-    found = written(deal.mapInArrow(grouped, "gram bigint, size bigint, mark bigint, anchor bigint, members array<bigint>"), "jaccard-grouped")
+    deal = tokens.mapInArrow(lean(dealt), "bucket bigint, grams binary, reps binary").repartition("bucket").sortWithinPartitions("bucket")
+    found = written(deal.mapInArrow(lean(grouped), "gram bigint, size bigint, mark bigint, anchor bigint, members array<bigint>"), "jaccard-grouped")
     one = found.groupBy("size", "mark", "anchor").agg(F.min("gram").alias("gram")).select("gram")
     members = found.join(one, "gram", "left_semi").select("gram", "size", F.explode("members").alias("rep"))
     if len(hot):
@@ -282,7 +282,7 @@ def prefix_groups(tokens: DataFrame, sets: int) -> DataFrame:
                 own = np.isin(grams, wanted)
                 yield pa.RecordBatch.from_arrays([pa.array(grams[own]), pa.array(np.full(int(own.sum()), most + 1)), pa.array(reps[own], pa.int64())], ["gram", "size", "rep"])
 
-        members = members.union(tokens.mapInArrow(picked, "gram bigint, size bigint, rep bigint"))
+        members = members.union(tokens.mapInArrow(lean(picked), "gram bigint, size bigint, rep bigint"))
     members = written(members, "jaccard-members")
     dropped(tokens, found)
     return members
@@ -435,7 +435,7 @@ def search_units(units: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("__text"))
     texts = texts.where(in_bitmap(units.select("rep").distinct(), "rep"))
     joined = units.join(texts, "rep").select("unit", "rep", "h1", "component", "__text")
-    return joined.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a bigint, b bigint")
+    return joined.repartition("unit").sortWithinPartitions("unit").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def in_bitmap(ids: DataFrame, column: str):
@@ -490,7 +490,7 @@ def screen(members: DataFrame, num: int, den: int) -> DataFrame:
                 yield from table.filter(pa.array(stays)).select(["gram", "size", "rep", "h1", "component", "n"]).combine_chunks().to_batches()
 
     joined = in_units(members, num, den).select("unit", "gram", "size", "rep", "h1", "component", "n", "counts")
-    kept = joined.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "gram bigint, size bigint, rep bigint, h1 bigint, component bigint, n bigint")
+    kept = joined.repartition("unit").sortWithinPartitions("unit").mapInArrow(lean(run), "gram bigint, size bigint, rep bigint, h1 bigint, component bigint, n bigint")
     return kept.distinct()
 
 
@@ -594,7 +594,7 @@ def split_by_pairs(members: DataFrame, reps: DataFrame, sets: int, num: int, den
 
     chosen = large.join(wide, "gram", "left_semi").join(reps.select("rep", "n", "prefix"), "rep").where(F.col("n") >= least)
     mine = chosen.groupBy("rep").agg(F.first("prefix").alias("prefix"), F.first("n").alias("n"), F.collect_list("gram").alias("grams"))
-    tokens = mine.select("rep", "prefix", "n", "grams").mapInArrow(pairs, "rep bigint, grams binary")
+    tokens = mine.select("rep", "prefix", "n", "grams").mapInArrow(lean(pairs), "rep bigint, grams binary")
     labels = members.select("rep", "component").distinct()
     finer = prefix_groups(tokens, sets).join(labels, "rep").select("gram", "size", "rep", "component")
     tiny = large.join(wide, "gram", "left_semi").join(reps.where(F.col("n") <= 2 * least).select("rep"), "rep", "left_semi")

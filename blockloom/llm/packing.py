@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import ship
+from ._bytes import lean
 from ._shared import documents, written
 from .tokens import default_vocabulary, fragments
 
@@ -187,7 +188,7 @@ def cut_pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, len
 
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(docs[id_col].alias("id"), docs[text_col].alias("__text"))
-    return read.mapInArrow(run, f"id {kind}, start bigint, length bigint, crc bigint, tokens bigint, class bigint, rank bigint, task bigint")
+    return read.mapInArrow(lean(run), f"id {kind}, start bigint, length bigint, crc bigint, tokens bigint, class bigint, rank bigint, task bigint")
 
 
 def pack(
@@ -229,7 +230,7 @@ def pack(
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    placed = ranked.mapInArrow(place, f"id {kind}, start bigint, length bigint, crc bigint, tokens bigint, class bigint, sequence_id bigint, at bigint")
+    placed = ranked.mapInArrow(lean(place), f"id {kind}, start bigint, length bigint, crc bigint, tokens bigint, class bigint, sequence_id bigint, at bigint")
     inside = W.partitionBy("sequence_id").orderBy(F.desc("class"), "at")
     return placed.select(
         F.col("id").alias(id_col),
